@@ -88,24 +88,37 @@ def rolling_features(
 ) -> DataFrame:
     """mean, sum, deviation, ewm, long mean and trend of every statistic (WIN1-WIN6, RSH5).
 
-    By default features of a row see earlier rows only.
+    By default features of a row see earlier rows only. dense=True says the statistics have no
+    NULLs, as in a completed panel: both means are then a sum over the frame's length, and three
+    sliding aggregates per statistic do instead of five.
     """
     stats = [s for s in stats if s in df.columns]
+    if not stats:
+        return df
     spec = windows.timeline(entity, period)
-    block: list[Column] = []
+    block: dict[str, Column] = {}
     for s in stats:
-        block += [
-            windows.lag_mean(s, short, spec, include_current).alias(f"{s}_mean{short}"),
-            windows.lag_sum(s, short, spec, include_current).alias(f"{s}_sum{short}"),
-            windows.lag_std(s, short, spec, include_current).alias(f"{s}_std{short}"),
-            windows.lag_mean(s, long, spec, include_current).alias(f"{s}_mean{long}"),
-        ]
-    out = df.select("*", *block)
+        block[f"{s}_sum{short}"] = windows.lag_sum(s, short, spec, include_current)
+        block[f"{s}_std{short}"] = windows.lag_std(s, short, spec, include_current)
+        if dense:
+            block[f"__long_{s}"] = windows.lag_sum(s, long, spec, include_current)
+        else:
+            block[f"{s}_mean{short}"] = windows.lag_mean(s, short, spec, include_current)
+            block[f"{s}_mean{long}"] = windows.lag_mean(s, long, spec, include_current)
+    if dense:
+        block["__seen"] = F.row_number().over(spec) - (0 if include_current else 1)
+    out = df.select("*", *[c.alias(name) for name, c in block.items()])
+    means: dict[str, Column] = {}
+    if dense:
+        for s in stats:
+            for total, n in ((f"{s}_sum{short}", short), (f"__long_{s}", long)):
+                rows = F.nullif(F.least(F.col("__seen"), F.lit(n)), F.lit(0))
+                means[f"{s}_mean{n}"] = F.col(total) / rows
+        out = out.withColumns(means).drop("__seen", *[f"__long_{s}" for s in stats])
     trends = {
         f"{s}_trend": windows.trend(F.col(f"{s}_mean{short}"), F.col(f"{s}_mean{long}")) for s in stats
     }
-    out = out.withColumns(trends)
-    return ewm_features(out, entity, period, stats, span, dense, include_current)
+    return ewm_features(out.withColumns(trends), entity, period, stats, span, dense, include_current)
 
 
 def previous_values(df: DataFrame, entity: str, period: str, columns: Sequence[str]) -> DataFrame:
