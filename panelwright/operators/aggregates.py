@@ -99,8 +99,8 @@ def group_percentiles(
     """Exact linear-interpolated percentiles per group, for groups of any size.
 
     The built-in exact percentile keeps all distinct values of a group in one task. Here a
-    sketch first brackets each wanted rank; rows below the bracket are only counted, and just the
-    values inside it are sorted. Result: `by`, share, value.
+    sketch first brackets each wanted rank; rows outside the bracket are only counted, and just
+    the values inside it are sorted. Result: `by`, share, value.
     """
     by = list(by)
     values = df.select(*by, F.col(f"`{column}`").cast("double").alias("__x"))
@@ -125,17 +125,26 @@ def group_percentiles(
     else:
         whole = plan.select(F.struct("__n", "__b")).scalar()
         inside = values.select("__x", whole.alias("__s")).select("__x", "__s.*")
-    rows = inside.select(*by, "__n", "__x", F.inline("__b")).filter("__x <= high")
-    below = F.when(F.col("__x") >= F.col("low"), F.col("__x"))
-    counted = rows.groupBy(*by, "share", "__n", below.alias("__v")).agg(F.count("*").alias("__c"))
-    spec = Window.partitionBy(*by, "share").orderBy(F.col("__v").asc_nulls_first())
+    rows = inside.select(*by, "__n", "__x", F.inline("__b"))
+    zone = F.when(F.col("__x") < F.col("low"), -1).when(F.col("__x") > F.col("high"), 1).otherwise(0)
+    rows = rows.withColumn("__zone", zone)
+    kept = F.when(F.col("__zone") == 0, F.col("__x")).alias("__v")
+    counted = rows.groupBy(*by, "share", "__n", "__zone", kept).agg(
+        F.count("*").alias("__c"), F.min("__x").alias("__least"), F.max("__x").alias("__most")
+    )
+    spec = Window.partitionBy(*by, "share").orderBy("__zone", "__v")
     end = F.sum("__c").over(spec.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__c"))
     position = F.col("share") * (F.col("__n") - 1)
 
     def at(rank: Column) -> Column:
+        # of the rows outside the bracket only the ones next to it are known by value
         hit = (F.col("__start") <= rank) & (rank < F.col("__end"))
-        return F.max(F.when(hit, F.col("__v")))
+        last_below = (F.col("__zone") == -1) & (rank == F.col("__end") - 1)
+        first_above = (F.col("__zone") == 1) & (rank == F.col("__start"))
+        value = F.when(F.col("__zone") == 0, F.col("__v"))
+        value = value.when(last_below, F.col("__most")).when(first_above, F.col("__least"))
+        return F.max(F.when(hit, value))
 
     low_value, high_value = at(F.floor(position)), at(F.ceil(position))
     picked = ranked.groupBy(*by, "share", "__n").agg(

@@ -51,6 +51,18 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df.na.fill({k: v for k, v in defaults.items() if k in df.columns})
 
 
+def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Drop listed columns the feed does not carry: a stated schema shows those as all NULL.
+
+    Runs one aggregation over the frame, meant for dimensions.
+    """
+    present = [c for c in columns if c in df.columns]
+    if not present:
+        return df
+    filled = df.agg(*[F.count(c).alias(c) for c in present]).first()
+    return df.drop(*[c for c in present if not filled[c]])
+
+
 def concat_columns(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Add a block of columns in one projection (RSH5)."""
     return df.select("*", *[c.alias(name) for name, c in columns.items()])

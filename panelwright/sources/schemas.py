@@ -9,6 +9,13 @@ from panelwright import fixed_values as fixed
 _TEXT = ("web_name", "first_name", "second_name", "status", "news")
 _WHOLE = ("id", "team", "element_type", "now_cost", "minutes", "starts")
 
+_TYPES = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def _struct(**columns: str) -> T.StructType:
+    """Schema from name=type pairs; unlike a DDL string it needs no running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
 
 def _player_field(name: str) -> T.StructField:
     if name in _WHOLE:
@@ -25,17 +32,17 @@ PLAYERS = T.StructType(
         T.StructField("transfers_out_event", T.LongType()),
     ]
 )
-TEAMS = T.StructType.fromDDL("id int, name string, short_name string")
-CALENDAR = T.StructType.fromDDL("id int, finished boolean")
-FIXTURES = T.StructType.fromDDL(
-    "id int, event int, finished string, kickoff_time string, team_h int, team_a int,"
-    "team_h_difficulty int, team_a_difficulty int, team_h_score int, team_a_score int"
+TEAMS = _struct(id="int", name="string", short_name="string")
+CALENDAR = _struct(id="int", finished="boolean")
+FIXTURES = _struct(
+    id="int", event="int", finished="string", kickoff_time="string", team_h="int", team_a="int",
+    team_h_difficulty="int", team_a_difficulty="int", team_h_score="int", team_a_score="int",
 )
 HISTORY = T.StructType(
     [T.StructField("fixture", T.IntegerType()), T.StructField("round", T.IntegerType())]
     + [T.StructField(name, T.StringType()) for name in fixed.HISTORY_STATS]
 )
-PLAYER_CODES = T.StructType.fromDDL("id int, web_name string, team int")
+PLAYER_CODES = _struct(id="int", web_name="string", team="int")
 PREDICTIONS = T.StructType(
     [
         T.StructField(

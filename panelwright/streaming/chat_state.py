@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,6 +17,9 @@ STATE = "reset_at long, positions array<long>, questions array<string>, answers
 OUTPUT = "chat_id string, messages array<struct<role:string,content:string>>"
 EXCHANGE = "chat_id string, position long, question string, answer string, is_reset boolean"
 
+# the functions below travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _recent(rows: pd.DataFrame, reset_at: int, n: int) -> tuple[pd.DataFrame, int]:
     """Rows after the last reset, at most the n newest; and that reset's position."""

@@ -43,8 +43,9 @@ def drain(
     fmt: str = "parquet",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     files_per_batch: int | None = None,
+    pattern: str | None = None,
 ) -> None:
-    """Move everything new in the landing zone into the table, then stop.
+    """Move everything new in the landing folder into the table, then stop.
 
     Each micro-batch owns the folders <period>/<batch id> it writes and replaces just those, so a
     batch that is run again after a failure leaves the same table.
@@ -52,6 +53,8 @@ def drain(
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     stream = reader.load(landing)
     stream = prepare(stream) if prepare else stream
 
