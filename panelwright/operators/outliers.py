@@ -32,13 +32,16 @@ def outlier_candidates(
 def regression_residuals(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Least-squares line per group and each row's residual (OUT2).
 
-    Slope and intercept come from one partial aggregation and are joined back: one row per group.
+    Where x does not vary there is no slope and the fit is the mean of y. Slope and intercept come from one partial aggregation and are joined back: one row per group.
     """
     lines = df.groupBy(group).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+        F.avg(y).alias("__level"),
     )
-    fitted = F.col("intercept") + F.col("slope") * F.col(x)
-    return attach(df, lines, group).withColumn("resid", F.col(y) - fitted)
+    fitted = F.coalesce(F.col("intercept") + F.col("slope") * F.col(x), F.col("__level"))
+    out = attach(df, lines, group).withColumn("resid", F.col(y) - fitted)
+    return out.drop("__level")
 
 
 def flag_outliers(
