@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from panelwright.plans.catalog import QUERIES  # noqa: E402
+from panelwright.session import SETTINGS  # noqa: E402
 
 HEADLINE = [
     "form_report",
@@ -56,11 +57,13 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench")
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.shuffle.partitions", cpus)
+        # the tables are small here: do not merge shuffle partitions below the number of cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

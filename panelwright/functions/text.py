@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -25,11 +26,23 @@ def matches_ci(c, pattern: str) -> Column:
 
 
 def matches_any(c, keywords: Sequence[str], word_boundary: bool = False) -> Column:
-    """TRUE when any keyword occurs (FLT10): one alternation, one pass over the whole text."""
+    """TRUE when any keyword occurs anywhere in the whole text, FALSE on NULL (FLT10).
+
+    Plain substrings are searched one after the other until one is found, in a text lower-cased
+    once (the one-element array binds it); that is several times faster than one alternation.
+    Whole words need the alternation.
+    """
     unique = list(dict.fromkeys(k.lower() for k in keywords))
-    body = "|".join(re.escape(k) for k in unique)
-    pattern = rf"\b(?:{body})\b" if word_boundary else f"(?:{body})"
-    return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
+    low = F.lower(_col(c))
+    if word_boundary:
+        body = "|".join(re.escape(k) for k in unique)
+        return F.coalesce(low.rlike(rf"\b(?:{body})\b"), F.lit(False))
+    # a keyword that contains another one can add nothing
+    needed = [k for k in unique if not any(o != k and o in k for o in unique)]
+    found = F.exists(
+        F.array(low), lambda t: reduce(lambda x, y: x | y, [t.contains(k) for k in needed])
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def period_from_name(c, tag: str = "gw") -> Column:

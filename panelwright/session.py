@@ -7,6 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Session settings the jobs are tuned for; set them when the session or cluster is created.
+# Wide feature projections compile to methods HotSpot refuses to compile (over 8000 bytes); with
+# this limit Spark runs those projections outside whole-stage code, which is far faster.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
