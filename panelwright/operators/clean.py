@@ -105,9 +105,12 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def member_of(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
-    """Rows whose value is in a short list or in the first column of a frame (FLT6)."""
+    """Rows whose value is in a short list or in the first column of a frame (FLT6).
+
+    The frame's keys are made distinct first: repeats collapse before the shuffle.
+    """
     if isinstance(values, DataFrame):
-        keys = values.select(F.col(values.columns[0]).alias(column))
+        keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
         return df.join(keys, column, "left_semi")
     return df.filter(F.col(column).isin(list(values)))
 

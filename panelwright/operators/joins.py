@@ -87,18 +87,18 @@ def join_latest(
 
 
 def missing_keys(ids: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Keys of `ids` without a row in `df` (JOI12, SET2)."""
-    return ids.select(key).distinct().join(df.select(key), key, "left_anti")
+    """Keys of `ids` without a row in `df` (JOI12, SET2); repeats collapse before the shuffle."""
+    return ids.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")
 
 
 def restrict_to(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key is listed (JOI13)."""
-    return df.join(keys.select(key), key, "left_semi")
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def except_keys(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of a that are not in b (SET2)."""
-    return a.subtract(b)
+    """Distinct rows of a that are not in b (SET2); repeats collapse before the shuffle."""
+    return a.distinct().subtract(b.distinct())
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

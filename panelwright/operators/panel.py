@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import fixed_values as fixed
 from panelwright.functions.scalars import falsy_default
@@ -118,13 +118,34 @@ def complete_panel(
     """Dense entity x period panel with defaults in the gaps (RSH2).
 
     facts must have one row per (entity, period). Unlisted fills are 0.
+
+    Only ids and the sparse facts are shuffled, by entity; the grid is exploded after that, where
+    it stays. Grid rows and facts are put next to each other by one sort on (entity, period), and
+    each grid row takes the fact right before it. The result is partitioned by entity and sorted,
+    so windows over the entity's periods need neither another exchange nor another sort.
     """
     stats = list(stats) if stats is not None else [
         c for c in facts.columns if c not in (entity, period)
     ]
     defaults = {s: 0.0 for s in stats} | dict(fills or {})
+    kinds = dict(facts.dtypes)
     skeleton = grid(ids, periods, entity, period, spread)
-    joined = skeleton.join(facts.select(entity, period, *stats), [entity, period], "left")
-    return joined.select(
-        entity, period, *[F.coalesce(F.col(s), F.lit(defaults[s])).alias(s) for s in stats]
+    if spread:
+        skeleton = skeleton.repartition(entity)
+    empty = [F.lit(None).cast(kinds[s]).alias(s) for s in stats]
+    wanted = skeleton.select(entity, period, F.lit(1).alias("__grid"), *empty)
+    known = facts.repartition(entity).select(entity, period, F.lit(0).alias("__grid"), *stats)
+    spec = Window.partitionBy(entity).orderBy(period, "__grid")
+    before = {f"__{s}": F.lag(s).over(spec) for s in stats}
+    found = (F.lag("__grid").over(spec) == 0) & (F.lag(period).over(spec) == F.col(period))
+    paired = wanted.unionByName(known).select(
+        entity, period, "__grid", found.alias("__found"), *[c.alias(n) for n, c in before.items()]
+    )
+    return paired.filter("__grid = 1").select(
+        entity,
+        period,
+        *[
+            F.coalesce(F.when(F.col("__found"), F.col(f"__{s}")), F.lit(defaults[s])).alias(s)
+            for s in stats
+        ],
     )

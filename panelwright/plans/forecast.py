@@ -111,7 +111,7 @@ def train(
     learn = split.training_set(featured, first, [*common, "total_points"])
     learn = learn.filter(F.col("element_type").isin(list(fixed.POSITIONS)))
     learn = split.clip_target(split.temporal_split(learn, periods), "total_points", "element_type")
-    learn = materialise(learn, "training")
+    learn = materialise(learn, "training", ["element_type"])
     names = {g: features.feature_columns(g, learn.columns) for g in fixed.POSITIONS}
     held_in = learn.filter("split = 'train'")
     trial = models.fit_per_group(held_in, "element_type", names, "total_points", settings)
@@ -129,8 +129,8 @@ def forecast(
 ) -> Forecast:
     """Features, models, scores and output tables for the next (or the given) period.
 
-    The featured panel and the training set are written to the shared folder once, because
-    training, scoring and the trace all read them.
+    The panel, its features, the training set and the prediction frame are written to the shared
+    folder once, because several later steps read each; the last two by group, as models do.
     """
     players, fixtures = inputs.players, inputs.fixtures
     fixtures = fixtures.filter(F.col("event").isNotNull())
@@ -152,6 +152,7 @@ def forecast(
     strength = context.team_strength(rows, team)
     opponents = context.opponent_strength(strength, fixtures, period, double_match)
     frame = scoring.prediction_frame(players, latest, upcoming, opponents)
+    frame = materialise(frame, "frame", ["element_type"])
     predictions = scoring.adjust_predictions(models.score_groups(fitted, frame, "element_type"))
     predictions = materialise(predictions, "predictions")
 

@@ -593,6 +593,7 @@ QUERY_SETTINGS = models.Boosting(rounds=5, learning_rate=0.3)
 
 
 def _training(spark, sf):
+    """Training rows, written by group, and each group's feature names."""
     rows = _featured(spark, sf)
     names = {g: features.feature_columns(g, rows.columns + ["opp_def_weakness"]) for g in LABELS}
     first = t.periods(spark, sf).agg(F.min("event")).scalar()
@@ -600,7 +601,7 @@ def _training(spark, sf):
     learn = split.training_set(rows, first, needed)
     learn = split.temporal_split(learn, t.periods(spark, sf))
     learn = split.clip_target(learn, "total_points", "element_type")
-    return materialise(learn, "training"), names
+    return materialise(learn, "training", ["element_type"]), names
 
 
 @query("gbt_validation", "MLP2 MLP5 MLP6 MLP8 AGG6")
@@ -620,6 +621,6 @@ def gbt_per_group(spark, sf):
     """Refit on all rows and the forecast of the day after, by the fitted models."""
     learn, names = _training(spark, sf)
     fitted = models.fit_per_group(learn, "element_type", names, "total_points", QUERY_SETTINGS)
-    frame = _snapshot(spark, sf)
+    frame = materialise(_snapshot(spark, sf), "frame", ["element_type"])
     out = scoring.adjust_predictions(models.score_groups(fitted, frame, "element_type"))
     return out.select("id", "element_type", "raw_predicted_points", "predicted_points", "value")

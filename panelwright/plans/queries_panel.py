@@ -645,19 +645,6 @@ def rank_in_group(spark, sf):
     return ranked.filter("rank <= 25").drop("c_acctbal")
 
 
-@query(
-    "group_start",
-    "WIN10",
-    """SELECT conv_id, turn, coalesce(role <> lag(role) OVER w, true) AS is_start FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-)
-def group_start(spark, sf):
-    turns = t.table(spark, sf, "conversations")
-    return turns.select(
-        "conv_id", "turn", windows.is_group_start("role", ["conv_id"], ["turn"]).alias("is_start")
-    )
-
-
 # --- sorts ------------------------------------------------------------------
 
 

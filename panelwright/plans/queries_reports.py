@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions import windows
 from panelwright.operators import aggregates, messages, outliers, ranking
 from panelwright.plans import tables as t
 from panelwright.plans.registry import query
@@ -141,6 +142,20 @@ def best_parts(spark, sf):
     return ranking.top_per_group(keyed, "grp", "p_retailprice", 10, ["p_partkey"])
 
 
+@query(
+    "group_start",
+    "WIN10",
+    """SELECT gw, p_partkey, coalesce("Pos" <> lag("Pos") OVER w, true) AS is_start FROM (
+      SELECT CAST(p_partkey % 3 + 9 AS INTEGER) AS gw, p_type AS "Pos", p_partkey, row_number() OVER
+        (PARTITION BY p_partkey % 3, p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+    WHERE rank <= 10 WINDOW w AS (PARTITION BY gw ORDER BY rank, "Pos")""",
+)
+def group_start(spark, sf):
+    """Group changes in a report of ten rows per group, read rank by rank."""
+    start = windows.is_group_start("Pos", ["gw"], ["Rank", "Pos"])
+    return best_parts(spark, sf).select("gw", "p_partkey", start.alias("is_start"))
+
+
 @query(
     "context_text",
     "CHT4 WIN10 SC16 SC17 AGG11 SRC7",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut lineage: write the frame to the shared folder and read it back.
 
-    Unlike a cached or locally checkpointed frame the table outlives lost executors.
+    Unlike a cached or locally checkpointed frame the table outlives lost executors. Readers that
+    want one value of a partition column scan that folder only.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

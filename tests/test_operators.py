@@ -173,3 +173,35 @@ def test_calendar_and_teams(spark, landing):
     teams = feeds.read_json_array(spark, f"{landing}/bootstrap.json", "teams", schemas.TEAMS)
     events = feeds.read_json_array(spark, f"{landing}/bootstrap.json", "events", schemas.CALENDAR)
     assert teams.count() == 6 and events.filter("finished").agg(F.max("id")).first()[0] == 12
+
+
+def _panel_inputs(spark):
+    ids = spark.createDataFrame([(1,), (2,), (2,), (None,), (4,)], "p int")
+    periods = spark.createDataFrame([(9,), (10,), (31,), (10,), (None,)], "event int")
+    facts = spark.createDataFrame(
+        [(1, 9, 1.5, None), (1, 31, 2.0, 4.0), (2, 10, 3.0, 1.0), (3, 9, 9.0, 9.0), (2, 11, 8.0, 8.0), (4, None, 7.0, 7.0)],
+        "p int, event int, a double, fdr double",
+    )
+    return ids, periods, facts
+
+
+@pytest.mark.parametrize("spread", [0, 3])
+def test_complete_panel(spark, spread):
+    """Gaps and NULLs are filled; facts outside ids or calendar are dropped."""
+    out = panel.complete_panel(*_panel_inputs(spark), "p", "event", fills={"fdr": 3.0}, spread=spread)
+    got = {(r.p, r.event): (r.a, r.fdr) for r in out.collect()}
+    facts = {(1, 9): (1.5, 3.0), (1, 31): (2.0, 4.0), (2, 10): (3.0, 1.0)}
+    assert out.count() == 9
+    assert got == {(p, e): facts.get((p, e), (0.0, 3.0)) for p in (1, 2, 4) for e in (9, 10, 31)}
+
+
+def test_panel_is_not_shuffled_again(spark):
+    """Only ids and facts are exchanged; the windows on top need no exchange and no sort."""
+    from panelwright.operators import features
+
+    out = panel.complete_panel(*_panel_inputs(spark), "p", "event")
+    alone = out._jdf.queryExecution().executedPlan().toString()
+    rolled = features.previous_values(out, "p", "event", ["a"])._jdf.queryExecution().executedPlan().toString()
+    for plan in (alone, rolled):
+        assert plan.count("Exchange hashpartitioning(p") == 2
+        assert plan.count("- Sort [") == 1
