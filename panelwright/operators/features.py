@@ -157,34 +157,47 @@ def normalise_maxabs(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.withColumn(to, scalars.scale_by_max(column, max_abs(df, column)))
 
 
-def momentum(
+def with_momentum(
     players: DataFrame,
-    key: str = "id",
     gained: str = "transfers_in_event",
     lost: str = "transfers_out_event",
     to: str = "transfer_momentum_norm",
 ) -> DataFrame:
-    """Normalised gained - lost per entity; 0 throughout when the feed lacks the counts (JOI7)."""
+    """Entities with normalised gained - lost; 0 throughout when the feed lacks the counts."""
     if gained not in players.columns or lost not in players.columns:
-        return players.select(key, F.lit(0.0).alias(to))
-    net = F.coalesce(F.col(gained).try_cast("double"), F.lit(0.0)) - F.coalesce(
-        F.col(lost).try_cast("double"), F.lit(0.0)
-    )
-    return normalise_maxabs(players.select(key, net.alias("net")), "net", to).select(key, to)
+        return players.withColumn(to, F.lit(0.0))
+
+    def count(c: str) -> Column:
+        return F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+
+    netted = players.withColumn("__net", count(gained) - count(lost))
+    return normalise_maxabs(netted, "__net", to).drop("__net")
+
+
+def momentum(players: DataFrame, key: str = "id", to: str = "transfer_momentum_norm") -> DataFrame:
+    """Normalised momentum per entity, to be attached by key (JOI7)."""
+    return with_momentum(players, to=to).select(key, to)
 
 
 def panel_features(panel: DataFrame, players: DataFrame) -> DataFrame:
-    """All features of a completed panel: windows, attributes, interactions, momentum."""
+    """All features of a completed panel: windows, attributes, interactions, momentum.
+
+    Attributes and momentum come from one join on the entity, which the windows have already
+    partitioned and sorted the panel by.
+    """
     out = rolling_features(panel, "player_id", "event", fixed.ROLLED_STATS)
     out = previous_values(out, "player_id", "event", fixed.PREVIOUS_STATS)
-    out = out.withColumn("pts_trend", F.col("total_points_trend"))
+    dim = with_momentum(players)
     wanted = ["element_type", "now_cost", "selected_by_percent", *fixed.PER90]
-    present = [c for c in wanted if c in players.columns]
-    out = attach(out, players, {"player_id": "id"}, present)
-    out = group_form_columns(interaction_columns(out))
-    return attach(
-        out, momentum(players), {"player_id": "id"}, fills={"transfer_momentum_norm": 0.0}
+    present = [c for c in wanted if c in dim.columns]
+    out = attach(
+        out.withColumn("pts_trend", F.col("total_points_trend")),
+        dim,
+        {"player_id": "id"},
+        [*present, "transfer_momentum_norm"],
+        fills={"transfer_momentum_norm": 0.0},
     )
+    return group_form_columns(interaction_columns(out))
 
 
 def rolled_columns(stats: Sequence[str] = fixed.ROLLED_STATS) -> list[str]:

@@ -147,3 +147,30 @@ def test_fan_out_is_an_option(inputs, result):
     mean = job.context.opponent_strength(strength, inputs.fixtures, 13)
     fan = job.context.opponent_strength(strength, inputs.fixtures, 13, "fanout")
     assert mean.filter("team = 4").count() == 1 and fan.filter("team = 4").count() == 2
+
+
+def test_ingest(spark, landing, tmp_path, domain):
+    from panelwright.plans.ingest import ingest
+    from panelwright.sources import feeds, schemas
+
+    paths = ingest(spark, landing, str(tmp_path / "tables"))
+    codes = feeds.read_csv(spark, paths["player_codes"], schemas.PLAYER_CODES).orderBy("id").collect()
+    assert [tuple(r) for r in codes[:2]] == [(1, "Player 01", 1), (2, "Player 02", 2)] and len(codes) == 48
+    assert feeds.read_csv(spark, paths["team_codes"], schemas.TEAMS).count() == 6
+    fixtures = feeds.read_csv(spark, paths["fixtures"], schemas.FIXTURES)
+    assert fixtures.count() == len(domain[1]) and fixtures.filter("event IS NULL").count() == 1
+    assert set(spark.read.option("header", True).csv(paths["players"]).columns) == set(domain[0][0])
+
+
+def test_feed_without_optional_columns(spark):
+    """A stated schema shows absent columns as NULL; those must not empty the training set."""
+    bare = spark.createDataFrame([(1, "a", None), (2, None, None)], "id int, name string, saves_per_90 double")
+    assert job.clean.drop_empty(bare, ["name", "saves_per_90", "other"]).columns == ["id", "name"]
+
+
+def test_calendar_without_finished_matches(inputs):
+    """Nothing has finished yet: no periods, an empty panel, mark 0."""
+    none = inputs.fixtures.withColumn("finished", F.lit("False"))
+    periods = job.feeds.finished_periods(none)
+    assert job.newest_finished(none) == 0 and periods.isEmpty()
+    assert job.build_panel(job.enrich_history(job.clean_history(inputs.history), inputs.players, none), inputs.players, periods).isEmpty()
