@@ -23,6 +23,7 @@ def ewm_features(
     include_current: bool = False,
     suffix: str = "_ewm",
     block_rows: int | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Exponentially weighted mean of all earlier rows, weights adjusted (WIN4).
 
@@ -31,15 +32,18 @@ def ewm_features(
     blocks weigh less than a double can show. Both window specs sort alike, so rows are sorted
     once more and not shuffled again.
 
-    NULL values carry no weight; dense=True says there are none, which halves the sums.
+    NULL values carry no weight; dense=True says there are none, which halves the sums. position
+    names a column that already numbers the entity's rows from 0.
     """
     growth = (span + 1) / (span - 1)
     rows = block_rows or max(int(120 * math.log(10) / math.log(growth)), 1)
-    position = F.row_number().over(windows.timeline(entity, period)) - 1
-    df = df.withColumn("__pos", position).withColumns(
+    if position is None:
+        position = "__pos"
+        df = df.withColumn(position, F.row_number().over(windows.timeline(entity, period)) - 1)
+    df = df.withColumns(
         {
-            "__block": F.floor(F.col("__pos") / rows).cast("int"),
-            "__w": F.pow(F.lit(growth), (F.col("__pos") % rows).cast("double")),
+            "__block": F.floor(F.col(position) / rows).cast("int"),
+            "__w": F.pow(F.lit(growth), (F.col(position) % rows).cast("double")),
         }
     )
     inside = Window.partitionBy(entity, "__block").orderBy(period)
@@ -105,20 +109,23 @@ def rolling_features(
         else:
             block[f"{s}_mean{short}"] = windows.lag_mean(s, short, spec, include_current)
             block[f"{s}_mean{long}"] = windows.lag_mean(s, long, spec, include_current)
-    if dense:
-        block["__seen"] = F.row_number().over(spec) - (0 if include_current else 1)
+    block["__pos"] = F.row_number().over(spec) - 1
     out = df.select("*", *[c.alias(name) for name, c in block.items()])
-    means: dict[str, Column] = {}
     if dense:
+        seen = F.col("__pos") + (1 if include_current else 0)
+        means: dict[str, Column] = {}
         for s in stats:
             for total, n in ((f"{s}_sum{short}", short), (f"__long_{s}", long)):
-                rows = F.nullif(F.least(F.col("__seen"), F.lit(n)), F.lit(0))
+                rows = F.nullif(F.least(seen, F.lit(n)), F.lit(0))
                 means[f"{s}_mean{n}"] = F.col(total) / rows
-        out = out.withColumns(means).drop("__seen", *[f"__long_{s}" for s in stats])
+        out = out.withColumns(means).drop(*[f"__long_{s}" for s in stats])
     trends = {
         f"{s}_trend": windows.trend(F.col(f"{s}_mean{short}"), F.col(f"{s}_mean{long}")) for s in stats
     }
-    return ewm_features(out.withColumns(trends), entity, period, stats, span, dense, include_current)
+    out = out.withColumns(trends)
+    return ewm_features(
+        out, entity, period, stats, span, dense, include_current, position="__pos"
+    )
 
 
 def previous_values(df: DataFrame, entity: str, period: str, columns: Sequence[str]) -> DataFrame:
@@ -185,8 +192,9 @@ def panel_features(panel: DataFrame, players: DataFrame) -> DataFrame:
     Attributes and momentum come from one join on the entity, which the windows have already
     partitioned and sorted the panel by.
     """
-    out = rolling_features(panel, "player_id", "event", fixed.ROLLED_STATS)
-    out = previous_values(out, "player_id", "event", fixed.PREVIOUS_STATS)
+    # lags first: they share the sort of the sliding windows, the weighted means sort anew
+    out = previous_values(panel, "player_id", "event", fixed.PREVIOUS_STATS)
+    out = rolling_features(out, "player_id", "event", fixed.ROLLED_STATS)
     dim = with_momentum(players)
     wanted = ["element_type", "now_cost", "selected_by_percent", *fixed.PER90]
     present = [c for c in wanted if c in dim.columns]
