@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import ranks
-from panelwright.session import materialise
+from panelwright.llm.stored import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -94,8 +94,8 @@ def mix(
     that end at the same virtual time are taken together or not at all. Other columns are ignored,
     whatever their names. Empty table: empty result.
     """
-    sized = materialise(_sized(docs, id_column, text_column, source_column), "mix-sizes")
-    queue = materialise(_queue(sized, weights, repeats), "mix-queue")
+    sized = stored(_sized(docs, id_column, text_column, source_column), "mix-sizes")
+    queue = stored(_queue(sized, weights, repeats), "mix-queue")
     taken = F.size(F.filter(_times(repeats), lambda t: t <= F.col("__cut")))
     return queue.withColumn("__cut", _cutoff(queue, repeats)).select(
         F.col("id").alias(id_column), "source", "size", "source_size", "target",

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.session import materialise
+from panelwright.llm.stored import stored
 
 FIT_ROWS = 20_000  # vectors on which lists are fitted at most, drawn by a hash of the id
 LIST_ROWS = 200  # rows of a list aimed at
@@ -160,7 +160,7 @@ def search(
     for r in placed.groupBy("list").count().collect():  # a row per list, at most MOST_LISTS
         sizes[r["list"]] = r["count"]
 
-    ranked = materialise(_answers(rows, placed, sizes, means, longest, rotation, (seed_ids, seeds), k, every, probes), "neighbours")
+    ranked = stored(_answers(rows, placed, sizes, means, longest, rotation, (seed_ids, seeds), k, every, probes), "neighbours")
     # a query whose tests left fewer than it can have is answered again without tests, from all lists
     full = ranked.filter(F.col("rank") == min(k, count - 1)).select(F.col("query_id").alias("id"))
     short = rows.join(full, "id", "left_anti").filter(F.pmod("id", F.lit(every)) == 0)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from panelwright.llm import buffers, pretokens, ranks
 from panelwright.llm.token_counts import _special_edges, _whole_specials
-from panelwright.session import materialise
+from panelwright.llm.stored import stored
 
 END_ID = 2
 NUMBERS = ["piece", "start", "length", "ids_crc32"]
@@ -288,7 +288,7 @@ def pack(
     kind = docs.schema[id_column].dataType
     schema = f"`{id_column}` {kind.simpleString()}, " + ", ".join(f"{x} bigint" for x in NUMBERS)
     pieces = docs.select(id_column, text_column).mapInArrow(_pieces(path, id_column, text_column, capacity), schema)
-    pieces = materialise(pieces, "pieces")
+    pieces = stored(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = slots(complete_bins(counts, capacity))
     parts = max(1, sum(counts.values()) // 20_000)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.session import materialise
+from panelwright.llm.stored import stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +119,7 @@ def judge(
     chosen = rules() if chosen is None else list(chosen)
     # every part gives its first rows of a random thinning, so that no part is read to its end
     thin = docs.select(id_column, text_column).sample(0.2, seed=7).limit(sample_rows)
-    sample = materialise(measures(thin, id_column, text_column), "quality-sample")
+    sample = stored(measures(thin, id_column, text_column), "quality-sample")
     verdict = F.when(F.col("base_failed"), False)
     for rule in order_rules(sample, chosen):
         verdict = verdict.when(rule.rejects, False)

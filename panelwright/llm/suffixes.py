@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import buffers
-from panelwright.session import scratch_path
+from panelwright.llm.stored import stored
 
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-STEP = 8  # bytes of a symbol
-SHARD_BYTES = 1_000_000  # bytes of contexts that form a shard
-MERGE_BYTES = 6_000_000  # bytes merged at once, or those of one anchor's contexts if they are more
+ROUNDS = 5  # symbols of a repeated string
+SHARD_BYTES = 500_000  # bytes of contexts that form a shard
+MERGE_BYTES = 3_000_000  # bytes merged at once, or those of one anchor's contexts if they are more
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -78,45 +78,39 @@ class Contexts:
     copied: np.ndarray
 
 
-def _symbols(data: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as one number that sorts as they do."""
-    padded = np.concatenate([data, np.zeros(STEP, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for k in range(STEP):
-        out = (out << np.uint64(8)) | padded[k : k + len(data)]
-    return out
-
-
 def merge(c: Contexts, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Context and place within it of each string of `length` bytes that starts at two places or more.
 
-    Each shard's suffixes are first sorted by one symbol on their own, and their columns interleaved. In
+    A symbol is a fifth of `length` in bytes, named by its fingerprint. Each shard's suffixes are first
+    sorted by one symbol on their own, and their columns interleaved. In
     every round a suffix's predecessor by one symbol takes its place by that symbol, and within it by the
     interleave of the round before: the step of a Burrows-Wheeler transform from suffix to predecessor,
     shared by all shards, so no suffix is compared again. Neighbours that differ are parted; the round
     tells their common prefix. What stands alone can't repeat, nor can its predecessors, and is left out.
     The intervals that last until `length` bytes are the repeated strings.
     """
-    rounds = length // STEP
+    step = length // ROUNDS
     sizes = np.diff(c.offsets)
     local = buffers.ranges(np.zeros(len(sizes), np.int64), sizes)
     left = np.repeat(sizes, sizes) - local
-    words = _symbols(c.data)
+    names = np.zeros(len(c.data), np.uint64)
+    starts = np.flatnonzero(left >= step)
+    names[starts] = buffers.span_hashes(c.data, starts, starts + step)
     edges = np.unique(np.searchsorted(c.offsets, np.arange(0, c.offsets[-1] + SHARD_BYTES, SHARD_BYTES)))
     columns = []
     for a, b in zip(c.offsets[edges[:-1]], c.offsets[np.minimum(edges[1:], len(sizes))], strict=True):
-        mine = a + np.flatnonzero(left[a:b] >= STEP)
-        columns.append(mine[np.argsort(words[mine], kind="stable")])
+        mine = a + np.flatnonzero(left[a:b] >= step)
+        columns.append(mine[np.argsort(names[mine], kind="stable")])
     order = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    order = order[np.argsort(words[order], kind="stable")]  # runs that are sorted already are merged
+    order = order[np.argsort(names[order], kind="stable")]  # runs that are sorted already are merged
     split = np.ones(len(order), bool)
-    split[1:] = words[order[1:]] != words[order[:-1]]
+    split[1:] = names[order[1:]] != names[order[:-1]]
     symbol = np.zeros(len(c.data), np.int32)
     symbol[order] = np.cumsum(split)
     order, block = _together(order, split)
-    for _ in range(rounds - 1):
-        inner = local[order] >= STEP
-        before, block = order[inner] - STEP, block[inner]
+    for _ in range(ROUNDS - 1):
+        inner = local[order] >= step
+        before, block = order[inner] - step, block[inner]
         turn = np.argsort(symbol[before], kind="stable")
         order, block = before[turn], block[turn]
         split = np.ones(len(order), bool)
@@ -267,12 +261,6 @@ def _cleaned(text_column: str, runs_column: str, digest: bool):
     return run
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     """Rows with a key of their text: its hash and size. Equal texts have equal runs."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -290,11 +278,11 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     keyed = _keyed(docs, text_column).select("tk", "size", F.col(text_column).alias("text"))
     read = keyed.filter(F.col("size") >= length)
     schema = "tk bigint, size bigint, h bigint, c bigint, at bigint"
-    every = _written(read.mapInArrow(_found(length), schema), "suffix-anchors")
+    every = stored(read.mapInArrow(_found(length), schema), "suffix-anchors")
     twice = every.groupBy("h").count().filter("count > 1").select("h")
-    some = _written(every.join(twice, "h", "left_semi"), "suffix-repeated")
+    some = stored(every.join(twice, "h", "left_semi"), "suffix-repeated")
     kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "size", "at")).alias("one"))
-    kinds = _written(kinds, "suffix-contexts")
+    kinds = stored(kinds, "suffix-contexts")
     open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
     ask = kinds.join(open_.select("h"), "h", "left_semi").select("one.tk", "one.size", F.struct("one.at", "h", "n").alias("a"))
     ask = ask.groupBy("tk", "size").agg(F.collect_list("a").alias("asked"))  # as many as fit the text
@@ -307,7 +295,7 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     # the strings around an anchor begin half a length before it at most, and end a length after it
     begin, stop = F.greatest(F.col("at") - length // 2, F.lit(0)), F.least(F.col("at") + length, F.col("size"))
     whole = whole.select("tk", "size", begin.alias("begin"), stop.alias("stop"))
-    runs = _written(open_runs.unionByName(whole), "suffix-runs")
+    runs = stored(open_runs.unionByName(whole), "suffix-runs")
     return runs.groupBy("tk", "size").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
 
 
@@ -323,7 +311,7 @@ def _joined(docs: DataFrame, length: int, text_column: str) -> DataFrame:
 def removed(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Figures of each document without every byte covered by a string of `length` bytes that starts twice.
 
-    `length` is a multiple of 8. Matches stay within a document; strings are judged on the input and
+    `length` is a multiple of 10. Matches stay within a document; strings are judged on the input and
     overlaps count. Null text: empty; texts shorter than `length` stay whole. Null or repeated ids and
     repeated rows: each row is a document, so the long texts of repeated rows go. Other columns are ignored,
     whatever their names. Empty table: empty result. What remains of a text may not be UTF-8; the digest
