@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame
 
 from panelwright.session import scratch_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Shuffle files of the job go as soon as it has ended. A compressed table's file size says little about
+# its size in memory, so Spark isn't left to broadcast by it; broadcasts that are asked for still happen.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends, lost executors don't matter.
-
-    The shuffle files of the job that writes it go as soon as it has ended, so they don't add up.
-    """
+    """Write a frame to the shared folder and read it back: its lineage ends, lost executors don't matter."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
