@@ -118,8 +118,8 @@ def judge(
     """
     chosen = rules() if chosen is None else list(chosen)
     # every part gives its first rows of a random thinning, so that no part is read to its end
-    thin = docs.select(id_column, text_column).sample(0.2, seed=7).limit(sample_rows)
-    sample = stored(measures(thin, id_column, text_column), "quality-sample")
+    thin = stored(docs.select(id_column, text_column).sample(0.2, seed=7).limit(sample_rows), "quality-drawn")
+    sample = stored(measures(thin.repartition(8), id_column, text_column), "quality-sample")
     verdict = F.when(F.col("base_failed"), False)
     for rule in order_rules(sample, chosen):
         verdict = verdict.when(rule.rejects, False)
