@@ -64,19 +64,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -60, 60)))
 
 
-def _bags(w: letters.Words, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, bucket and weight: each word's share of its document, spread over its buckets."""
-    keys, at, word = np.unique(w.hashes, return_index=True, return_inverse=True)
-    pairs, uses = np.unique(w.rows.astype(np.int64) * len(keys) + word, return_counts=True)
-    doc, word = pairs // len(keys), pairs % len(keys)
-    share = uses / np.bincount(w.rows, minlength=documents)[doc]
-    buckets, of_word = subwords(w.points, w.starts[at], w.ends[at])
-    buckets, per_word = buckets[np.argsort(of_word, kind="stable")], np.bincount(of_word, minlength=len(keys))
-    number = per_word[word]
-    flat = buckets[buffers.ranges((np.cumsum(per_word) - per_word)[word], number)]
-    cells, inverse = np.unique(np.repeat(doc, number) * BUCKETS + flat, return_inverse=True)
-    weight = np.bincount(inverse, np.repeat(share / number, number))
-    return cells // BUCKETS, cells % BUCKETS, weight.astype(np.float32)
+def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and weights of all documents, one after another, and where each begins.
+
+    Each word's share of its document is spread over its buckets. Few documents are spread at a time.
+    """
+    buckets, weights, sizes = [], [], []
+    for part in buffers.slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", 250_000):
+        w, documents = letters.words_of(part.column(0)), len(part)
+        keys, at, word = np.unique(w.hashes, return_index=True, return_inverse=True)
+        pairs, uses = np.unique(w.rows.astype(np.int64) * max(1, len(keys)) + word, return_counts=True)
+        doc, word = pairs // max(1, len(keys)), pairs % max(1, len(keys))
+        share = uses / np.bincount(w.rows, minlength=documents)[doc]
+        flat, of_word = subwords(w.points, w.starts[at], w.ends[at])
+        flat, per_word = flat[np.argsort(of_word, kind="stable")], np.bincount(of_word, minlength=len(keys))
+        number = per_word[word]
+        flat = flat[buffers.ranges((np.cumsum(per_word) - per_word)[word], number)]
+        cells, inverse = np.unique(np.repeat(doc, number) * BUCKETS + flat, return_inverse=True)
+        weights.append(np.bincount(inverse, np.repeat(share / number, number), len(cells)).astype(np.float32))
+        buckets.append((cells % BUCKETS).astype(np.int32))
+        sizes.append(np.bincount(cells // BUCKETS, minlength=documents))
+    return np.concatenate(buckets), np.concatenate(weights), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def fit(texts: pa.Array, labels: np.ndarray, share: float | None = None, seed: int = 11) -> Model:
@@ -86,17 +94,16 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float | None = None, seed: i
     both labels the model knows nothing: its score is 1 or 0 as the only label, 0 without any.
     """
     rate = float(labels.mean()) if len(labels) else 0.0
-    words = letters.words_of(texts)
-    if not 0 < rate < 1 or not len(words.starts):
+    if not 0 < rate < 1:
         return Model(np.zeros(BUCKETS), 60.0 if rate == 1 else -60.0)
-    doc, bucket, weight = _bags(words, len(labels))
+    bucket, weight, at = _bags(texts)
     seen = np.bincount(bucket, minlength=BUCKETS)
     known = np.flatnonzero(seen >= min(LEAST_DOCS, 1 + len(labels) // 100))
-    number = np.full(BUCKETS, -1)
+    number = np.full(BUCKETS, -1, np.int32)
     number[known] = np.arange(len(known))
     kept = number[bucket] >= 0
-    doc, bucket, weight = doc[kept], number[bucket[kept]], weight[kept]
-    at = np.searchsorted(doc, np.arange(len(labels) + 1))
+    at = np.concatenate([[0], np.cumsum(kept)])[at]
+    bucket, weight = number[bucket[kept]], weight[kept]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (len(known), DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (2, DIM)).astype(np.float32)
@@ -109,8 +116,8 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float | None = None, seed: i
             cells = buffers.ranges(at[batch], sizes)
             used, share_of = bucket[cells], weight[cells][:, None]
             mean = np.zeros((len(batch), DIM), np.float32)
+            filled = sizes > 0
             if len(cells):
-                filled = sizes > 0
                 mean[filled] = np.add.reduceat(vectors[used] * share_of, (np.cumsum(sizes) - sizes)[filled], axis=0)
             logit = mean @ out.T + bias
             odds = np.exp(logit - logit.max(1, keepdims=True))

@@ -1,0 +1,254 @@
+"""The training-data operators against brute force, the tokenizer library and held-out rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from panelwright.llm import (
+    jaccard, language, links, mixing, neighbours, packing, quality, quotes, suffixes, token_counts, toxicity,
+)
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+HARD = [
+    None, "", " ", "a<|endoftext|>b  \n<|endoftext|>", " <|endoftext|>", "don't 's 'll we've !'s ''s 'tis \n's x'rex",
+    "  lead", "trail  ", "a  \n b\t\tc", "a" * 3000, "日本語 テスト 123٣ ½", "a b　 c", "🎉🎉 a🎉", "'", "l'", "<|endof", "text|>",
+]
+
+
+def docs_of(spark, texts, ids=None):
+    """Documents with columns whose names clash with results."""
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", f"s{k % 3}" if k % 4 else None, 1, None) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, size string")
+
+
+def words_of(text):
+    return [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+@pytest.fixture(scope="module")
+def sample(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+
+
+def test_token_counts(spark, sample):
+    texts = HARD + [r.text for r in sample.select("text").limit(60).collect()]
+    want = [len(x.ids) for x in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), PATH, limit=50).collect()}
+    assert [got[i].n_tokens for i in range(len(texts))] == want
+    assert [got[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
+    assert all(r.over_limit == (r.n_tokens > 50) for r in got.values())
+
+
+def test_packing(spark, sample):
+    texts = HARD + HARD + [r.text for r in sample.select("text").limit(80).collect()]
+    ids = [None if i < 2 else i // 2 for i in range(len(texts))]
+    tokenizer = Tokenizer.from_file(PATH)
+    whole = [[*x.ids, 2] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    rows = packing.pack(docs_of(spark, texts, ids), PATH).collect()
+    want = Counter()
+    for i, x in zip(ids, whole, strict=True):
+        head = len(x) % 1024 or 1024
+        cuts = [0, *range(head, len(x) + 1, 1024)] if len(x) > 1024 else [0, len(x)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[(i, k, a, b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for pieces in bins.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(bins) <= packing.least_bins(Counter(r.length for r in rows), 1024) + 1
+
+
+def test_bin_completion():
+    rng = random.Random(3)
+    for _ in range(20):
+        counts = Counter(rng.randint(1, 10) for _ in range(rng.randint(1, 12)))
+        runs = packing.complete_bins(dict(counts), 10)
+        assert Counter(x for r in runs for _ in range(r.bins) for x in r.lengths) == counts
+        assert all(sum(r.lengths) <= 10 for r in runs)
+        assert packing.least_bins(counts, 10) <= sum(r.bins for r in runs) <= sum(r.bins for r in packing.best_fit(counts, 10))
+    # best fit needs three bins here, two do
+    assert sum(r.bins for r in packing.complete_bins({5: 1, 4: 1, 3: 3, 2: 1}, 10)) == 2
+
+
+def test_suffixes(spark, sample):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdé ") for _ in range(900))
+    texts = [
+        base, base, base[:450] + "X" + base[450:], "q" + base[100:320] + "w" + base[600:799], base[600:800], "the " * 300, "z" * 201,
+        "z" * 200 + "é", None, "", base[50:700], "x" * 199, base[3:203] + "!" + base[3:203], "0123456789" * 25 + base[820:],
+    ]
+    texts += [r.text for r in sample.select("text").limit(40).collect()]
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 200] for b in raws for i in range(len(b) - 199))
+    want = []
+    for k, b in enumerate(raws):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        want.append((k, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    frame = docs_of(spark, texts)
+    assert sorted(tuple(r) for r in suffixes.removed(frame).collect()) == want
+    cleaned = suffixes.clean(frame)
+    assert cleaned.columns == frame.columns and cleaned.count() == len(texts)
+
+
+def test_jaccard(spark, sample):
+    base = [f"w{i}" for i in range(300)]
+    texts = [None, "", "a b c", "A B  c", "q " * 50, "Q q q q q", " ".join(base), " ".join(base[:290]), " ".join(base[:200]), "a b c"]
+    texts += [r.text for r in sample.select("text").limit(80).collect()]
+    sets = []
+    for t in texts:
+        w = words_of((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+    frame = docs_of(spark, texts[:10] + ["a b c"], [0, 1, None, 3, 4, 5, 6, 7, 8, 9, 9])
+    kept = jaccard.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, x) for x in (0, 1, 3, 4, 6, 8)]
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 8), (3, 10), (5, 5), *[(i, i + 1) for i in range(20, 60)]]
+    got = {r.node: r.root for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 8: 8, 9: 8, **{i: 20 for i in range(20, 61)}}
+
+
+def test_mixing(spark, sample):
+    frame = docs_of(spark, ["a b c", "a b c", None, "", "q " * 50, "x y", "one", "two words"], [1, 1, None, 2, 3, 4, 5, None])
+    rows = mixing.mix(frame).collect()
+    assert len(rows) == 8 and all(r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0) for r in rows)
+    assert mixing.take(frame).columns == frame.columns
+    assert mixing.take(frame).count() == sum(r.taken // r["size"] for r in rows if r["size"])
+    rows = mixing.mix(sample).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
+    assert all(abs(taken[s] - target[s]) <= 2 * max(largest.values()) for s in target)
+
+
+def test_quality(spark):
+    clean = " ".join(f"word{i}" for i in range(80))
+    texts = [None, "", "few words", clean, "q " * 60, clean + " " + clean, " ".join(f"x{i}$$$" for i in range(80)), "\n".join(["same line"] * 40), clean]
+    rows = {r.doc_id: r for r in quality.judge(docs_of(spark, texts)).collect()}
+    assert [rows[i].kept for i in range(9)] == [False, False, False, True, False, False, False, False, True]
+    assert rows[5].n_repeat_words == 160 and rows[7].n_dup_lines == 39 and rows[6].n_symbols == 240 and rows[4].n_repeat_words == 60
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 16)).round(2)
+    x[300:500] = x[0]
+    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)]
+    rows += [(None, [1.0] * 16, 1, 2), (1001, None, 1, 2), (1002, [0.0] * 16, 1, 2), (1003, [float("nan")] * 16, 1, 2), (1004, [None] * 16, 1, 2), (1005, [1.0], 1, 2), (0, x[0].tolist(), 1, 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, list int")
+    got = defaultdict(list)
+    for r in neighbours.search(frame).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 900, 20):
+        score = (x * x[q]).sum(1)
+        best = [int(i) for i in np.lexsort((np.arange(900), -score)) if i != q][:20]
+        assert len(got[q]) == 20
+        hits += len(set(best) & set(got[q]))
+        if q == 0:
+            assert got[q] == best
+    assert hits >= 0.9 * 20 * 45
+
+
+def test_toxicity_and_language(spark):
+    rng = random.Random(2)
+    plain = {"en": "house river green walk bright stone", "de": "straße grün über läuft schön haus", "fr": "maison rivière très été forêt là"}
+    rows, labels = [], []
+    for i in range(600):
+        lang = rng.choice(list(plain))
+        words = [rng.choice(plain[lang].split()) for _ in range(40)]
+        toxic = i % 3 == 0
+        if toxic:
+            words[5::9] = ["badword", "uglyterm", "badword", "uglyterm"][: len(words[5::9])]
+        rows.append((i, " ".join(words), lang, "s", 1.0))
+        labels.append((i, 1, int(toxic), "x"))
+    rows += [(None, None, None, None, 0.0), (900, "", "en", None, 0.0), (901, "12 %", None, None, 0.0), (902, "some baddword uglyterms badword baddwords uglyterm", None, None, 0.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
+    marks = spark.createDataFrame(labels + [(None, 1, 1, "x"), (3, 1, None, "x")], "doc_id long, quality int, toxic int, text string")
+    got = {r.doc_id: r for r in toxicity.score(frame, marks).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sorted(i for i in range(600) if got[i].held_out) == held
+    assert np.mean([got[i].predicted == int(i % 3 == 0) for i in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert got[902].predicted == 1  # misspelt
+    found = {r.doc_id: r for r in language.identify(frame).collect()}
+    tried = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sorted(i for i in range(600) if found[i].held_out) == tried
+    assert np.mean([found[i].lang_pred == rows[i][2] for i in tried]) > 0.95
+    assert [found[i].lang_pred for i in (None, 900, 901)] == ["und"] * 3
+
+
+def test_gradients():
+    """Backpropagation through time against differences."""
+    rng = np.random.default_rng(0)
+    one = language.Direction(rng)
+    seen = rng.integers(0, 256, (5, 3))
+    mask = (np.arange(5)[:, None] < np.array([5, 3, 1])).astype(np.float32)
+    above = rng.normal(size=(5, 3, language.HIDDEN)).astype(np.float32)
+    kept: list = []
+    one.forward(seen, mask, kept)
+    for weight, grad in zip(one.weights(), one.backward(seen, mask, kept, above), strict=True):
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        totals = []
+        for step in (1e-2, -1e-2):
+            weight[at] += step
+            totals.append(float((one.forward(seen, mask).astype(np.float64) * above).sum()))
+            weight[at] -= step
+        assert (totals[0] - totals[1]) / 2e-2 == pytest.approx(grad[at], rel=0.02)
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "a", "Hello there.\nHow are you?"), (1, 1, "b", "> How   are YOU?\nFine"), (1, 2, "a", "ok"),
+        (1, 3, "c", "a wrote:\n> Hello there.\nyes"), (1, 4, "b", ">> Hello there.\n> yes\nno"), (1, 5, "x", "> not there\nfoo"),
+        (None, 0, "a", "x"), (None, 1, "a", None), (2, None, "a", "null turn"), (2, 0, "a", ""), (2, 0, "a", ""), (2, 3, None, "> \n>"),
+    ]
+    frame = spark.createDataFrame([(*r, 5, 6) for r in rows], "conv_id long, turn long, role string, text string, position int, branch int")
+    got = quotes.thread(frame).collect()
+    one = {r.turn: (r.reply_to, r.branch, r.position, r.n_linked, r.text) for r in got if r.conv_id == 1}
+    assert one[1] == (0, 0, 1, 1, "Fine") and one[3] == (0, 3, 3, 1, "yes") and one[4] == (3, 3, 4, 2, "no") and one[5][4] == "foo"
+    assert len(got) == len(rows) and sorted(r.position for r in got if r.conv_id == 2) == [0, 1, 2, 3]
+
+
+def test_empty_tables(spark):
+    none = docs_of(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for frame in (
+        token_counts.count_tokens(none, PATH), packing.pack(none, PATH), suffixes.removed(none), suffixes.clean(none), jaccard.join(none),
+        jaccard.one_of_each(none), mixing.mix(none), mixing.take(none), quality.judge(none), toxicity.score(none, labels),
+        language.identify(none), neighbours.search(vectors), quotes.thread(talks),
+    ):
+        assert frame.collect() == []
