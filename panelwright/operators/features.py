@@ -87,7 +87,7 @@ def rolling_features(
     short: int = fixed.SHORT_WINDOW,
     long: int = fixed.LONG_WINDOW,
     span: int = fixed.EWM_SPAN,
-    dense: bool = True,
+    dense: bool = False,
     include_current: bool = False,
 ) -> DataFrame:
     """mean, sum, deviation, ewm, long mean and trend of every statistic (WIN1-WIN6, RSH5).
@@ -194,7 +194,7 @@ def panel_features(panel: DataFrame, players: DataFrame) -> DataFrame:
     """
     # lags first: they share the sort of the sliding windows, the weighted means sort anew
     out = previous_values(panel, "player_id", "event", fixed.PREVIOUS_STATS)
-    out = rolling_features(out, "player_id", "event", fixed.ROLLED_STATS)
+    out = rolling_features(out, "player_id", "event", fixed.ROLLED_STATS, dense=True)
     dim = with_momentum(players)
     wanted = ["element_type", "now_cost", "selected_by_percent", *fixed.PER90]
     present = [c for c in wanted if c in dim.columns]

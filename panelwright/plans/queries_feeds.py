@@ -182,6 +182,8 @@ def incremental_refresh(spark, sf):
     base = scratch_path(spark, "refresh")
     finished = t.periods(spark, sf).withColumn("finished", F.lit("True"))
     schema = T.StructType.fromDDL(t.SCHEMAS["events"])
+    files = t.table(spark, sf, "events").inputFiles()
+    single = len(files) == 1 and files[0].endswith("/events.parquet")
 
     def prepare(stream):
         return stream.select(
@@ -189,8 +191,9 @@ def incremental_refresh(spark, sf):
         )
 
     settings = dict(
-        landing=sf,
-        pattern="events.parquet",
+        # the table may be a file or a folder of part files; a stream reads folders
+        landing=sf if single else f"{sf}/events.parquet",
+        pattern="events.parquet" if single else "*.parquet",
         schema=schema,
         table=f"{base}/table",
         checkpoint=f"{base}/checkpoint",

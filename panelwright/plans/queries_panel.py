@@ -566,7 +566,7 @@ def _ewm_sql(stats) -> str:
 def rolling_lagged(spark, sf):
     stats = ["total_points", "minutes", "saves"]
     rows = t.panel(spark, sf).select("player_id", "event", *stats)
-    out = features.rolling_features(rows, "player_id", "event", stats).drop(*stats)
+    out = features.rolling_features(rows, "player_id", "event", stats, dense=True).drop(*stats)
     out = out.drop(*[f"{s}_ewm" for s in stats])
     deviations = {f"{s}_std5": F.round(f"{s}_std5", 4) for s in stats}
     others = [c for c in out.columns if c not in ("player_id", "event", *deviations)]

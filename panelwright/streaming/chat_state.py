@@ -27,7 +27,8 @@ def _recent(rows: pd.DataFrame, reset_at: int, n: int) -> tuple[pd.DataFrame, in
     if len(resets):
         reset_at = max(reset_at, int(resets.max()))
     kept = rows[~rows["is_reset"] & (rows["position"] > reset_at)]
-    return kept.nlargest(n, "position").drop_duplicates("position"), reset_at
+    # a turn delivered twice is one turn: copies go before the newest are counted
+    return kept.drop_duplicates("position").nlargest(n, "position"), reset_at
 
 
 def _thin(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -37,7 +38,8 @@ def _thin(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         for rows in batches:
             resets = rows[rows["is_reset"]].groupby("chat_id")["position"].transform("max")
             last = rows.loc[resets.index[rows.loc[resets.index, "position"] == resets]]
-            kept = rows[~rows["is_reset"]].sort_values("position").groupby("chat_id").tail(n)
+            once = rows[~rows["is_reset"]].drop_duplicates(["chat_id", "position"])
+            kept = once.sort_values("position").groupby("chat_id").tail(n)
             yield pd.concat([last, kept])
 
     return run

@@ -86,6 +86,14 @@ def read_refreshed(
     return rows.drop(BATCH)
 
 
+def newest_present(spark: SparkSession, table: str, period: str) -> int | None:
+    """The newest period that the refreshed table holds; None if nothing has landed yet."""
+    try:
+        return spark.read.parquet(table).agg(F.max(period)).first()[0]
+    except AnalysisException:  # the first file makes the table
+        return None
+
+
 def incremental_refresh(
     spark: SparkSession,
     fixtures: DataFrame,
@@ -96,11 +104,15 @@ def incremental_refresh(
 ) -> bool:
     """Drain the landing zone when a newer period has finished; True when it did.
 
-    The mark is written after the data, so a run that dies in between is repeated, not skipped.
+    The mark is written after the data, so a run that dies in between is repeated, not skipped. It never
+    passes the newest period that has landed: files that come late are drained by a later run.
     """
     newest = newest_finished(fixtures, complete)
     if not force and newest == read_mark(spark, marker):
         return False
     drain(spark, **landing)
-    write_mark(spark, marker, newest)
+    present = newest_present(spark, landing["table"], landing.get("period", "event"))
+    if present is None:
+        return False
+    write_mark(spark, marker, present if newest is None else min(newest, present))
     return True

@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import pandas as pd
+from panelwright.streaming import chat_state
 from panelwright import fixed_values as fixed
 from panelwright.operators import messages
 from panelwright.plans import reports
@@ -137,3 +139,11 @@ def test_last_n_is_limited_before_the_shuffle(spark):
     out = messages.last_n(_turns(spark), "chat_id", "seq", 2)
     assert out.count() == 6
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_delivery_loses_no_turn():
+    rows = pd.DataFrame({"chat_id": "c", "position": [2, 3, 4, 5, 6, 4, 5, 6], "question": "q", "answer": "a", "is_reset": False})
+    kept, _ = chat_state._recent(rows, -1, 5)
+    assert sorted(kept["position"]) == [2, 3, 4, 5, 6]
+    thin = pd.concat(chat_state._thin(5)(iter([rows])))
+    assert sorted(thin["position"]) == [2, 3, 4, 5, 6]

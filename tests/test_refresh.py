@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.plans.catalog import QUERIES
 from panelwright import session
 from panelwright.sources import feeds, sinks
 from panelwright.streaming import refresh
@@ -96,3 +97,24 @@ def test_materialise_cuts_lineage(spark):
     df = session.materialise(spark.range(10).withColumn("x", F.col("id") * 2), "t")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 10 and "Range" not in plan
+
+
+def test_mark_waits_for_late_files(spark, tmp_path):
+    landing, mark = tmp_path / "in", str(tmp_path / "mark")
+    landing.mkdir()
+    where = dict(landing=str(landing), schema=_schema(spark), table=str(tmp_path / "table"), checkpoint=str(tmp_path / "cp"))
+    assert not refresh.incremental_refresh(spark, _fixtures(spark, 2), mark, **where)
+    assert refresh.read_mark(spark, mark) == -1
+    spark.createDataFrame([(1, 1, 5.0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(landing))
+    assert refresh.incremental_refresh(spark, _fixtures(spark, 2), mark, **where)
+    assert refresh.read_mark(spark, mark) == 1
+    spark.createDataFrame([(1, 2, 6.0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(landing))
+    assert refresh.incremental_refresh(spark, _fixtures(spark, 2), mark, **where)
+    assert refresh.read_mark(spark, mark) == 2
+
+
+def test_refresh_query_reads_a_folder_table(spark, sf_dir, tmp_path):
+    for name in ("events", "customer", "orders"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = QUERIES["incremental_refresh"](spark, str(tmp_path))
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
