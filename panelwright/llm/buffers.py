@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000  # working arrays hold this much text, or one longer text
+SLICE_BYTES = 1_000_000  # working arrays hold this much text, or one longer text
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95

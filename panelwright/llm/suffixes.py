@@ -17,8 +17,8 @@ from panelwright.llm.stored import stored
 
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 ROUNDS = 5  # symbols of a repeated string
-SHARD_BYTES = 500_000  # bytes of contexts that form a shard
-MERGE_BYTES = 3_000_000  # bytes merged at once, or those of one anchor's contexts if they are more
+SHARD_BYTES = 250_000  # bytes of contexts that form a shard
+MERGE_BYTES = 1_500_000  # bytes merged at once, or those of one anchor's contexts if they are more
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -232,7 +232,7 @@ def _cleaned(text_column: str, runs_column: str, digest: bool):
     """Texts without the runs, and their figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in buffers.slices(batches, text_column):
             texts, out = batch.column(text_column), []
             for text, runs in zip(texts, batch.column(runs_column), strict=True):
                 raw = (text.as_py() or "").encode()
