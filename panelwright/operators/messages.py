@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import fixed_values as fixed
 from panelwright.functions import text
 from panelwright.functions.windows import is_group_start, rank_in_group
 from panelwright.operators.aggregates import join_lines
 from panelwright.operators.joins import attach
+from panelwright.session import materialise
 from panelwright.sources.feeds import latest_partition
 
 
@@ -144,21 +145,85 @@ def context_text(
     return body.withColumn("text", F.concat(title, F.col("text")))
 
 
+def history_before(
+    questions: DataFrame,
+    pairs: DataFrame,
+    resets: DataFrame,
+    chat: str,
+    order: str,
+    n: int = fixed.MAX_HISTORY,
+    keywords: Sequence[str] = fixed.TOPIC_KEYWORDS,
+) -> DataFrame:
+    """The last n messages before each question and after the last reset before it (CHT3 at a point in time).
+
+    One row per (chat, order) of a question that has a history. Events are dealt by range, so a chat of
+    any length spreads over many blocks; a block counts its exchanges on its own and takes the counts of
+    the blocks before it. A question then asks for the numbers right below its own, at most (n + 1) // 2.
+    """
+    usable = pairs.filter(F.col("answer").isNotNull() & (F.col("question") != ""))
+    usable = usable.filter(text.matches_any("question", keywords))
+    keys = [F.col(chat), F.col(order)]
+    # at the same place a question comes first: it doesn't see its own exchange
+    events = (
+        questions.select(*keys).distinct().withColumn("__kind", F.lit(0))
+        .unionByName(resets.select(*keys, F.lit(1).alias("__kind")))
+        .unionByName(usable.select(*keys, F.lit(2).alias("__kind"), "question", "answer"), allowMissingColumns=True)
+    )
+    dealt = events.repartitionByRange(chat, order, "__kind").withColumn("__block", F.spark_partition_id())
+    dealt = materialise(dealt, "chat-events")
+    is_pair = (F.col("__kind") == 2).cast("long")
+    reset = F.when(F.col("__kind") == 1, F.col(order))
+    blocks = dealt.groupBy(chat, "__block").agg(F.sum(is_pair).alias("__pairs"), F.max(reset).alias("__mark"))
+    earlier = Window.partitionBy(chat).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        chat,
+        "__block",
+        F.coalesce(F.sum("__pairs").over(earlier), F.lit(0)).alias("__before"),
+        F.max("__mark").over(earlier).alias("__earlier"),
+    )
+    within = Window.partitionBy(chat, "__block").orderBy(order, "__kind")
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = dealt.select("*", F.sum(is_pair).over(within).alias("__in"), F.max(reset).over(within).alias("__mark"))
+    placed = counted.join(offsets, [chat, "__block"]).withColumns(
+        {"__place": F.col("__before") + F.col("__in"), "__reset": F.coalesce("__mark", "__earlier")}
+    )
+    asked = placed.filter((F.col("__kind") == 0) & (F.col("__place") > 0)).select(chat, order, "__reset", "__place")
+    first = F.greatest(F.col("__place") - ((n + 1) // 2 - 1), F.lit(1))
+    wanted = asked.withColumn("__place", F.explode(F.sequence(first, F.col("__place"))))
+    said = placed.filter(F.col("__kind") == 2)
+    said = said.select(chat, "__place", F.col(order).alias("__said"), "question", "answer")
+    found = wanted.join(said, [chat, "__place"]).filter(
+        F.col("__reset").isNull() | (F.col("__said") > F.col("__reset"))
+    )
+    both = F.array(text.message("user", "question"), text.message("assistant", "answer"))
+    ordered = F.array_sort(F.collect_list(F.struct("__place", both.alias("m"))))  # (n + 1) // 2 at most
+    messages = F.flatten(F.transform(ordered, lambda s: s["m"]))
+    per_question = found.groupBy(chat, order).agg(messages.alias("messages"))
+    return per_question.withColumn("messages", text.tail("messages", n))
+
+
 def build_prompts(
     questions: DataFrame,
-    history: DataFrame,
+    pairs: DataFrame,
+    resets: DataFrame,
     context: DataFrame,
     chat: str = "chat_id",
+    order: str = "seq",
+    n: int = fixed.MAX_HISTORY,
+    keywords: Sequence[str] = fixed.TOPIC_KEYWORDS,
     model: str = "chat-model",
     system: str = "Answer from the prediction data provided.",
     label: str = "Data",
     max_tokens: int = fixed.MAX_TOKENS,
 ) -> DataFrame:
-    """One request per question: history, then context and question (CHT5). Nothing is sent.
+    """One request per on-topic question: its history, then context and question (CHT5). Nothing is sent.
 
-    context is one row; it enters the plan as a scalar subquery.
+    The history is the one at the time of the question: see history_before. context is one row; it
+    enters the plan as a scalar subquery.
     """
-    joined = attach(questions, history, chat, ["messages"])
+    asked = questions.filter(F.coalesce(F.col("text") != "", F.lit(False)) & text.matches_any("text", keywords))
+    history = history_before(asked, pairs, resets, chat, order, n, keywords)
+    joined = asked.join(history, [chat, order], "left")
     content = F.concat(
         F.lit(f"{label}:\n"),
         context.select("text").scalar(),

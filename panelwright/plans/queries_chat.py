@@ -193,28 +193,42 @@ def append_and_tail(spark, sf):
     )
 
 
+# each on-topic question with the exchanges before it, since the last reset before it
+SQL_PROMPT_HISTORY = f"""
+asked AS (SELECT chat_id, seq, text FROM turns WHERE role = 'user' AND text <> '' AND {SQL_TOPIC.format(c="text")}),
+since AS (SELECT a.chat_id, a.seq, max(s.seq) AS reset_at FROM asked a
+  LEFT JOIN turns s ON s.chat_id = a.chat_id AND s.role = 'system' AND s.seq < a.seq GROUP BY 1, 2),
+earlier AS (SELECT a.chat_id, a.seq, p.seq AS pos, p.question, p.answer FROM since a
+  JOIN pairs p ON p.chat_id = a.chat_id AND p.seq < a.seq AND (a.reset_at IS NULL OR p.seq > a.reset_at)
+  QUALIFY row_number() OVER (PARTITION BY a.chat_id, a.seq ORDER BY p.seq DESC) <= 2),
+before AS (SELECT chat_id, seq, 2 * count(*) AS n_messages,
+  string_agg('user: ' || question || chr(10) || 'assistant: ' || answer || chr(10), '' ORDER BY pos) AS text
+  FROM earlier GROUP BY 1, 2)"""
+
+
 def _prompts(spark, sf):
     turns = t.chat_turns(spark, sf).filter("role = 'user'").select("chat_id", "seq", "text")
     context = messages.context_text(best_parts(spark, sf), groups=GROUPS)
-    return messages.build_prompts(turns, _history(spark, sf), context, system="Be brief.")
+    pairs, resets = _pairs(spark, sf)
+    return messages.build_prompts(turns, pairs, resets, context, n=4, keywords=TOPICS, system="Be brief.")
 
 
 @query(
     "build_prompts",
     "CHT5 SC19 SC20",
-    sql_with(t.SQL_TURNS, SQL_HISTORY, SQL_CONTEXT_TEXT, "h AS (" + SQL_HISTORY_ROWS + ")")
-    + """SELECT t.chat_id, t.seq, 'chat-model' AS model, 1024 AS max_tokens, 'Be brief.' AS system,
-      coalesce(n_messages, 0) + 1 AS n_messages, 'user' AS last_role,
-      'Data:' || chr(10) || c.text || chr(10) || chr(10) || 'Question: ' || t.text AS last_content
-    FROM turns t LEFT JOIN h USING (chat_id), context c WHERE t.role = 'user'""",
+    sql_with(t.SQL_TURNS, SQL_HISTORY, SQL_CONTEXT_TEXT, SQL_PROMPT_HISTORY)
+    + """SELECT a.chat_id, a.seq, 'chat-model' AS model, 1024 AS max_tokens, 'Be brief.' AS system,
+      coalesce(n_messages, 0) + 1 AS n_messages, coalesce(b.text, '') || 'user: Data:' || chr(10) || c.text
+      || chr(10) || chr(10) || 'Question: ' || a.text AS messages
+    FROM asked a LEFT JOIN before b ON b.chat_id = a.chat_id AND b.seq = a.seq, context c""",
 )
 def build_prompts(spark, sf):
-    """The request JSON, parsed back into its fields."""
+    """The request JSON, parsed back into its fields; all messages in order."""
     schema = (
         "model string, max_tokens int, system string, messages array<struct<role:string,content:string>>"
     )
     parsed = _prompts(spark, sf).select("chat_id", "seq", F.from_json("request", schema).alias("r"))
-    last = F.element_at("r.messages", -1)
+    lines = F.transform("r.messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return parsed.select(
         "chat_id",
         "seq",
@@ -222,8 +236,7 @@ def build_prompts(spark, sf):
         "r.max_tokens",
         "r.system",
         F.size("r.messages").cast("bigint").alias("n_messages"),
-        last["role"].alias("last_role"),
-        last["content"].alias("last_content"),
+        F.array_join(lines, "\n").alias("messages"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright import fixed_values as fixed
 from panelwright.operators import messages, outliers
@@ -50,12 +50,21 @@ def prompts(
     resets: DataFrame,
     best: DataFrame,
     body: str = "body",
+    order: str = "update_id",
     **request,
 ) -> DataFrame:
     """Requests for the messages that get an answer, from raw updates and the stored exchanges.
 
-    pairs: (chat_id, seq, question, answer); resets: (chat_id, seq).
+    pairs: (chat_id, seq, question, answer); resets: (chat_id, seq). Stored rows come before all
+    updates; updates follow each other by `order`, so a reset among them ends the history of later ones.
     """
-    questions = messages.route_messages(updates, body).filter("route = 'answer'").drop("route")
-    history = messages.chat_history(pairs, resets, "chat_id", "seq")
-    return messages.build_prompts(questions, history, messages.context_text(best), **request)
+    routed = messages.route_messages(updates, body).withColumn("__at", _at(1, order))
+    stored, marks = (df.withColumn("__at", _at(0, "seq")) for df in (pairs, resets))
+    marks = marks.select("chat_id", "__at").unionByName(routed.filter("route = 'reset'").select("chat_id", "__at"))
+    questions = routed.filter("route = 'answer'").drop("route")
+    context = messages.context_text(best)
+    return messages.build_prompts(questions, stored, marks, context, order="__at", **request).drop("__at")
+
+
+def _at(batch: int, order: str):
+    return F.struct(F.lit(batch).alias("batch"), F.col(order).cast("long").alias("place"))

@@ -135,6 +135,42 @@ def test_prompts(spark):
     assert got[1]["messages"][-2] == {"role": "assistant", "content": "b7"}
 
 
+def test_prompts_see_what_was_said_before_them(spark):
+    turns = [
+        (1, 1, "user", "who a"), (1, 2, "assistant", "x"), (1, 3, "user", "rain"), (1, 4, "assistant", "no"),
+        (1, 5, "user", "who b"), (1, 6, "assistant", "y"), (1, 7, "system", "/start"), (1, 8, "user", "who c"),
+        (1, 9, "assistant", "z"), (1, 10, "user", "who d"), (2, 1, "user", "who e"),
+    ]
+    df = spark.createDataFrame(turns, "chat_id long, seq long, role string, text string")
+    pairs, resets = messages.exchanges(df, "chat_id", "seq"), df.filter("role = 'system'").select("chat_id", "seq")
+    asked = df.filter("role = 'user'").select("chat_id", "seq", "text")
+    out = messages.build_prompts(asked, pairs, resets, messages.context_text(_best(spark))).collect()
+    got = {(r.chat_id, r.seq): [m.content for m in r.messages[:-1]] for r in out}
+    assert got == {(1, 1): [], (1, 5): ["who a", "x"], (1, 8): [], (1, 10): ["who c", "z"], (2, 1): []}
+
+
+def test_a_reset_in_the_batch_ends_the_history(spark):
+    pairs = spark.createDataFrame([(2, 50, "who", "me")], "chat_id long, seq long, question string, answer string")
+    resets = spark.createDataFrame([(2, 40)], "chat_id long, seq long")
+    updates = spark.createDataFrame(
+        [(1, _update(2, "who then")), (2, _update(2, "/start")), (3, _update(2, "best buy?"))], "update_id int, body string"
+    )
+    out = reports.prompts(updates, pairs, resets, _best(spark)).collect()
+    assert {r.update_id: len(r.messages) for r in out} == {1: 3, 3: 1}
+
+
+def test_a_long_chat_is_dealt_into_blocks(spark):
+    rows = spark.range(1, 3001).select(F.lit(1).alias("chat_id"), F.col("id").alias("seq"), F.format_string("who %d", "id").alias("text"))
+    pairs = rows.select("chat_id", "seq", F.col("text").alias("question"), F.col("seq").cast("string").alias("answer"))
+    resets = rows.filter("seq % 1000 = 0").select("chat_id", "seq")
+    out = messages.history_before(rows, pairs, resets, "chat_id", "seq", 5).collect()
+    got = {r.seq: [m.content for m in r.messages] for r in out}
+    for seq in range(1, 3001):
+        since = (seq - 1) // 1000 * 1000
+        said = [x for s in range(since + 1 if since else 1, seq) for x in (f"who {s}", str(s))]
+        assert got.get(seq, []) == said[-5:], seq
+
+
 def test_last_n_is_limited_before_the_shuffle(spark):
     out = messages.last_n(_turns(spark), "chat_id", "seq", 2)
     assert out.count() == 6
