@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from panelwright.llm.stored import stored
 
 FIT_ROWS = 20_000  # vectors on which lists are fitted at most, drawn by a hash of the id
-LIST_ROWS = 200  # rows of a list aimed at
+LIST_ROWS = 1000  # rows of a list aimed at; each visit ships a query, so long lists keep the shuffle small
 MOST_LISTS = 4096
-PROBES = 0.6  # part of the lists that a query visits, more until they hold LEAST_ROWS rows
+PROBES = 0.7  # part of the lists that a query visits, more until they hold LEAST_ROWS rows
 LEAST_ROWS = 4000
 SEEDS = 4096  # fitted vectors whose 2k-th best is a query's bound
 PART_ROWS, PART_QUERIES = 4000, 2000  # a list with more rows or queries is scanned in parts
