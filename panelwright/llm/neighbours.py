@@ -16,7 +16,8 @@ LIST_ROWS = 1000  # rows of a list aimed at; each visit ships a query, so long l
 MOST_LISTS = 4096
 PROBES = 0.7  # part of the lists that a query visits, more until they hold LEAST_ROWS rows
 LEAST_ROWS = 4000
-SEEDS = 4096  # fitted vectors whose 2k-th best is a query's bound
+WITHIN = 3  # a query's bound, taken from the fitted vectors, is to leave about WITHIN * k rows
+LEAST_SEEDS = 8  # fitted vectors within the bound at least
 PART_ROWS, PART_QUERIES = 4000, 2000  # a list with more rows or queries is scanned in parts
 BLOCK = 33  # dimensions of a column block
 SURENESS = 1.6  # how sure a test must be before it abandons a candidate
@@ -67,15 +68,15 @@ def nearest(x: np.ndarray, means: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def first_bounds(q_ids: np.ndarray, flat: np.ndarray, ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """Squared distance of each query to its 2k-th best of the seeds, not counting itself."""
+def first_bounds(q_ids: np.ndarray, flat: np.ndarray, ids: np.ndarray, seeds: np.ndarray, within: int) -> np.ndarray:
+    """Squared distance of each query to its `within`-th best of the seeds, not counting itself."""
     out = np.full(len(flat), np.inf)
     step = max(1, CHUNK * 4 // max(1, len(seeds)))
-    for begin in range(0, len(flat) if len(seeds) > 2 * k else 0, step):
+    for begin in range(0, len(flat) if len(seeds) > within else 0, step):
         q = flat[begin : begin + step]
         far = (q**2).sum(1)[:, None] + (seeds**2).sum(1) - 2 * q @ seeds.T
         far[q_ids[begin : begin + step, None] == ids] = np.inf
-        out[begin : begin + step] = np.partition(far, 2 * k - 1, axis=1)[:, 2 * k - 1]
+        out[begin : begin + step] = np.partition(far, within - 1, axis=1)[:, within - 1]
     return out
 
 
@@ -148,7 +149,7 @@ def search(
     sample = lifted(sample, longest)
     means = centres(sample, max(1, min(MOST_LISTS, count // LIST_ROWS)))
     rotation = _rotation(sample.shape[1])
-    seeds, seed_ids = sample[:SEEDS], drawn.column("id").to_numpy()[:SEEDS]
+    seeds, seed_ids = sample, drawn.column("id").to_numpy()
 
     def put(batches):
         for pdf in batches:
@@ -177,6 +178,8 @@ def _answers(
 ) -> DataFrame:
     """Ranked answers to the queries among `rows`."""
     seed_ids, seeds = seeded
+    # of the rows within the bound, the seeds are the same part as of all rows
+    within = max(LEAST_SEEDS, math.ceil(WITHIN * k * len(seeds) / sizes.sum()))
 
     def probe(batches):
         for pdf in batches:
@@ -190,7 +193,7 @@ def _answers(
             visits = ((np.arange(near.shape[1]) < probes * len(means)) | (before < LEAST_ROWS)) & (sizes[near] > 0)
             row, at = np.nonzero(visits)
             ids = pdf["id"].to_numpy()
-            bound = first_bounds(ids, flat, seed_ids, seeds, k)
+            bound = first_bounds(ids, flat, seed_ids, seeds, within)
             yield pd.DataFrame({"id": ids[row], "vector": pdf["vector"].to_numpy()[row], "list": near[row, at], "bound": bound[row]})
 
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0)
