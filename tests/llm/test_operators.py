@@ -130,6 +130,25 @@ def test_jaccard(spark, sample):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, x) for x in (0, 1, 3, 4, 6, 8)]
 
 
+def test_jaccard_rewrapped(spark):
+    """Short copies, not quite equal, with other blanks, against brute force."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4 + k % 3 * rng.randint(0, 3))) for _ in range(30)]
+        copy = [*words[:-1], "changed"] if k % 4 else words[:25]
+        lines = [" ".join(copy[i : i + 8]) for i in range(0, len(copy), 8)]
+        texts += [" ".join(words), "\r\n".join(" " * 8 + x for x in lines) if k % 2 else "\n\n \t".join(lines).upper()]
+    sets = []
+    for t in texts:
+        w = words_of(t.lower())
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    root = [min(j for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)) for a in sets]
+    assert sum(r != i for i, r in enumerate(root)) == 45
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (3, 10), (5, 5), *[(i, i + 1) for i in range(20, 60)]]
     got = {r.node: r.root for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
