@@ -18,7 +18,7 @@ from panelwright.llm.stored import stored
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 ROUNDS = 5  # symbols of a repeated string
 SHARD_BYTES = 250_000  # bytes of contexts that form a shard
-MERGE_BYTES = 1_500_000  # bytes merged at once, or those of one anchor's contexts if they are more
+MERGE_BYTES = 1_500_000  # bytes merged at once; an anchor with more of them in its contexts is decided by counts
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -184,6 +184,34 @@ def _shipped(length: int):
     return run
 
 
+def _strings(length: int):
+    """Each string of `length` bytes with the anchor asked for in it: its distance before the anchor and a hash of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in buffers.slices(batches, "text"):
+            data, offsets = buffers.texts_of(batch.column("text"))
+            asked = batch.column("asked")
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(asked).to_numpy())
+            a = asked.flatten()
+            at, h = (a.field(x).to_numpy() for x in ("at", "h"))
+            place, size = offsets[row] + at, np.diff(offsets)[row]
+            # from the least distance whose string ends within the text to the largest that begins within it
+            least = np.maximum(at + length - size, 0)
+            number = np.maximum(np.minimum(at, length // 2) - least + 1, 0)
+            which, before = np.repeat(np.arange(len(at)), number), buffers.ranges(least, number)
+            starts = place[which] - before
+            values = np.zeros(0, np.uint64)
+            if len(starts):
+                values = buffers.mix(buffers.span_hashes(data, starts, starts + length) + before.astype(np.uint64))
+            kept = [batch.column(x).take(pa.array(row[which])) for x in ("tk", "size")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[which]), pa.array(values.view(np.int64)), *kept, pa.array(at[which]), pa.array(before)],
+                names=["h", "s", "tk", "size", "at", "before"],
+            )
+
+    return run
+
+
 def _merged(length: int):
     """Runs of repeated strings of contexts without copies; the contexts of an anchor follow each other."""
 
@@ -267,13 +295,32 @@ def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.withColumns({"tk": F.xxhash64(text), "size": F.octet_length(text).cast("bigint")})
 
 
+def _counted(asked: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated strings around the anchors asked for, by counts of their strings."""
+    schema = "h bigint, s bigint, tk bigint, size bigint, at bigint, before bigint"
+    strings = stored(asked.mapInArrow(_strings(length), schema), "suffix-strings")
+    place = F.struct("tk", "size", "at")  # the same for all copies of a text, which are counted as contexts
+    twice = strings.groupBy("h", "s").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "s")
+    again = strings.join(twice, ["h", "s"], "left_semi").groupBy("tk", "size", "h", "at")
+    again = again.agg(F.array_sort(F.collect_set("before")).alias("d"))  # half of `length` and one at most
+    low = F.filter("d", lambda x: ~F.array_contains("d", x - 1))
+    high = F.filter("d", lambda x: ~F.array_contains("d", x + 1))
+    each = again.select("tk", "size", "at", F.explode(F.arrays_zip(low.alias("low"), high.alias("high"))).alias("r"))
+    return each.select(
+        "tk", "size", (F.col("at") - F.col("r.high")).alias("begin"), (F.col("at") - F.col("r.low") + length).alias("stop")
+    )
+
+
 def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     """Repeated byte ranges of each text: tk, size and runs, an array of (begin, stop).
 
     1. Anchors of all texts, with a hash of the bytes around each. Anchors that occur once are dropped.
     2. A context that occurs twice repeats whole: counted with map-side combination, so copies and
        passages that many documents share never meet in a task.
-    3. The other contexts of an anchor that has several are shipped once and merged.
+    3. The other contexts of an anchor that has several are shipped once and merged, if they are no more
+       than a task merges at once.
+    4. Those of an anchor with more are counted string by string with map-side combination: equal strings
+       have the anchor at an equal distance. So no task holds the contexts of such an anchor.
     """
     keyed = _keyed(docs, text_column).select("tk", "size", F.col(text_column).alias("text"))
     read = keyed.filter(F.col("size") >= length)
@@ -284,9 +331,15 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "size", "at")).alias("one"))
     kinds = stored(kinds, "suffix-contexts")
     open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
-    ask = kinds.join(open_.select("h"), "h", "left_semi").select("one.tk", "one.size", F.struct("one.at", "h", "n").alias("a"))
-    ask = ask.groupBy("tk", "size").agg(F.collect_list("a").alias("asked"))  # as many as fit the text
-    shipped = read.join(ask, ["tk", "size"]).select("text", "tk", "size", "asked").mapInArrow(
+    open_ = stored(open_, "suffix-open")
+    most = MERGE_BYTES // (length + length // 2)
+
+    def asking(anchors_: DataFrame, of: DataFrame) -> DataFrame:
+        ask = of.join(anchors_.select("h"), "h", "left_semi").select("one.tk", "one.size", F.struct("one.at", "h", "n").alias("a"))
+        ask = ask.groupBy("tk", "size").agg(F.collect_list("a").alias("asked"))  # as many as fit the text
+        return read.join(ask, ["tk", "size"]).select("text", "tk", "size", "asked")
+
+    shipped = asking(open_.filter(F.col("k") <= most), kinds).mapInArrow(
         _shipped(length), "h bigint, tk bigint, size bigint, first bigint, copied boolean, around binary"
     )
     dealt = shipped.repartition("h").sortWithinPartitions("h")
@@ -295,7 +348,11 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     # the strings around an anchor begin half a length before it at most, and end a length after it
     begin, stop = F.greatest(F.col("at") - length // 2, F.lit(0)), F.least(F.col("at") + length, F.col("size"))
     whole = whole.select("tk", "size", begin.alias("begin"), stop.alias("stop"))
-    runs = stored(open_runs.unionByName(whole), "suffix-runs")
+    found = open_runs.unionByName(whole)
+    many = open_.filter(F.col("k") > most)
+    if not many.isEmpty():
+        found = found.unionByName(_counted(asking(many, kinds), length))
+    runs = stored(found, "suffix-runs")
     return runs.groupBy("tk", "size").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
 
 

@@ -108,6 +108,45 @@ def test_suffixes(spark, sample):
     assert cleaned.columns == frame.columns and cleaned.count() == len(texts)
 
 
+def test_suffixes_of_a_hot_anchor(spark, monkeypatch):
+    """A passage that many unlike texts share: no task merges all of its surroundings, and nothing is missed."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = some(320)
+    texts = [some(rng.randint(0, 130)) + passage[k % 3 * 20 :] + some(rng.randint(0, 130)) for k in range(5600)]
+    texts += texts[:3] + [passage * 2]
+    seen = Counter(hash(t[i : i + 200]) for t in texts for i in range(len(t) - 199))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[hash(t[i : i + 200])] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want[k] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(t.encode(), gone, strict=True) if not g)).hexdigest())
+    merged, most = suffixes._merged, suffixes.MERGE_BYTES
+
+    def watched(length):
+        run = merged(length)
+
+        def watch(batches):
+            weights = Counter()
+
+            def each():
+                for batch in batches:
+                    for h, x in zip(batch.column("h").to_pylist(), batch.column("around").to_pylist(), strict=True):
+                        weights[h] += len(x)
+                    assert max(weights.values(), default=0) <= most, "too much of one anchor in a task"
+                    yield batch
+
+            yield from run(each())
+
+        return watch
+
+    monkeypatch.setattr(suffixes, "_merged", watched)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffixes.removed(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 def test_jaccard(spark, sample):
     base = [f"w{i}" for i in range(300)]
     texts = [None, "", "a b c", "A B  c", "q " * 50, "Q q q q q", " ".join(base), " ".join(base[:290]), " ".join(base[:200]), "a b c"]
