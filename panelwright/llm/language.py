@@ -16,7 +16,7 @@ from panelwright.llm.toxicity import remainder
 HIDDEN = 16
 LONGEST = 24  # bytes of a word that the network reads at once; a longer word is read in such parts
 FIT_DOCS = 250  # documents the model is fitted on at most, by language
-FIT_LANGS = 64  # languages learned at most, the most frequent
+FIT_ROWS = 16_000  # documents it is fitted on at most, but one of each language: with many languages, fewer of each
 FIT_CHARS = 20_000  # longer texts take no part in fitting; prediction reads every text whole
 STEPS, BATCH, RATE = 900, 256, 0.01
 UNKNOWN = "und"
@@ -154,8 +154,9 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 5) -> Model:
     drawn = np.concatenate([rng.choice(p, sizes * STEPS) for p in pools])
     chosen, inverse = np.unique(drawn, return_inverse=True)
     rows, lengths, word = sequences(w, chosen)
-    whole = np.searchsorted(word, np.arange(len(chosen)))  # of a long word, its first part
-    inverse = whole[inverse].reshape(len(names), STEPS, sizes)
+    first = np.searchsorted(word, np.arange(len(chosen) + 1))
+    inverse = first[inverse] + rng.integers(0, np.diff(first)[inverse])  # of a long word, any of its parts
+    inverse = inverse.reshape(len(names), STEPS, sizes)
     means = [np.zeros_like(x) for x in model.weights()]
     squares = [np.zeros_like(x) for x in model.weights()]
     target = np.repeat(np.arange(len(names)), sizes)
@@ -182,17 +183,17 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 5) -> Model:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Fit on at most FIT_DOCS documents of each language that aren't held out, drawn by a hash of the id."""
+    """Fit on documents of every language that aren't held out, at most FIT_DOCS of each, drawn by a hash of the id."""
     known = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"), F.col(lang_column).alias("__lang"))
     known = known.filter(F.col("__lang").isNotNull() & (remainder(F.col("__id"), 4) != 2) & F.col("__id").isNotNull())
     short = known.filter((F.length("__text") <= FIT_CHARS) & F.col("__text").rlike(r"\p{L}"))
     place = F.row_number().over(Window.partitionBy("__lang").orderBy("__hash", "__id"))
     ids = short.select("__id", "__lang", F.xxhash64("__id").alias("__hash")).withColumn("__place", place)
-    most = short.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(FIT_LANGS).select("__lang")
-    # at most FIT_DOCS ids of each of at most FIT_LANGS languages may be broadcast
-    few = ids.filter(F.col("__place") <= FIT_DOCS).join(F.broadcast(most), "__lang").select("__id", "__lang")
-    rows = short.join(F.broadcast(few), ["__id", "__lang"]).orderBy("__lang", "__id", "__text")
-    table = rows.select("__text", "__lang").limit(FIT_DOCS * FIT_LANGS).toArrow()
+    each = max(1, min(FIT_DOCS, FIT_ROWS // max(1, short.select("__lang").distinct().count())))
+    # at most FIT_ROWS ids, or one of each language, may be broadcast
+    few = ids.filter(F.col("__place") <= each).select("__id", "__lang").distinct()
+    rows = short.join(F.broadcast(few), ["__id", "__lang"]).groupBy("__lang", "__id").agg(F.min("__text").alias("__text"))
+    table = rows.orderBy("__lang", "__id").select("__text", "__lang").toArrow()
     return fit(table.column("__text").combine_chunks(), table.column("__lang").to_pylist())
 
 

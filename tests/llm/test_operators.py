@@ -267,6 +267,25 @@ def test_toxicity_and_language(spark):
     assert [found[i].lang_pred for i in (None, 900, 901)] == ["und"] * 3
 
 
+def test_all_languages_are_learned(spark):
+    """More languages than 64, the last ones rare; and long runs of letters that begin alike."""
+    rng = random.Random(9)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)] for k in range(70)}
+    rows = []
+    for k, (lang, vocabulary) in enumerate(words.items()):
+        for _ in range(12 if k < 64 else 4):
+            rows.append((len(rows), " ".join(rng.choice(vocabulary) for _ in range(30)), lang))
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words)
+    texts = language.pa.array([" ".join(w) for w in words.values()])
+    names, _ = model.predict(texts, language.pretokens.Memo(bits=10, width=len(model.langs) + 1, dtype=np.float64))
+    right = [a == b for a, b in zip(names, words, strict=True)]
+    assert np.mean(right) > 0.9 and sum(right[64:]) >= 4
+    model = language.fit(language.pa.array(["a" * 30 + "b" * 40, "a" * 30 + "c" * 40]), ["x", "y"])
+    names, scores = model.predict(language.pa.array(["b" * 20, "c" * 20]), language.pretokens.Memo(bits=10, width=3, dtype=np.float64))
+    assert names == ["x", "y"] and min(scores) > 0.9
+
+
 def test_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
