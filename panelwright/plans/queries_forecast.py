@@ -589,7 +589,7 @@ def entity_trace_periods(spark, sf):
 
 # --- models -----------------------------------------------------------------
 
-QUERY_SETTINGS = models.Boosting(rounds=5, learning_rate=0.3)
+QUERY_SETTINGS = models.Boosting()
 
 
 def _training(spark, sf):

@@ -174,3 +174,10 @@ def test_calendar_without_finished_matches(inputs):
     periods = job.feeds.finished_periods(none)
     assert job.newest_finished(none) == 0 and periods.isEmpty()
     assert job.build_panel(job.enrich_history(job.clean_history(inputs.history), inputs.players, none), inputs.players, periods).isEmpty()
+
+
+def test_queries_fit_all_rounds():
+    from panelwright.plans import queries_forecast
+
+    assert queries_forecast.QUERY_SETTINGS == Boosting()
+    assert (Boosting().rounds, Boosting().learning_rate) == (800, 0.03)
