@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import jaccard, language, mixing, neighbours, packing, quality, quotes, suffixes, token_counts, toxicity
+from panelwright.llm import (
+    audit, jaccard, language, lines, mixing, neighbours, packing, quality, quotes, spelling, suffixes, token_counts, toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -55,11 +57,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(_table(spark, sf_dir, "documents")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_nearest_neighbours, op3_suffix_dedup, op4_source_mixing, op5_best_fit_packing,
         op6_toxicity, op7_language_id, op8_ngram_jaccard, op9_chat_quotes, op10_token_counts,
+        op11_filter_audit, op12_spelling_variants, op13_line_dedup,
     )
 }
 
@@ -67,6 +82,9 @@ ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op4_source_mixing": mixing.ORACLE_SQL,
     "op8_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op11_filter_audit": audit.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_line_dedup": lines.ORACLE_SQL,
 }
 
 
