@@ -157,13 +157,13 @@ def dropped(docs: DataFrame, min_chars: int, min_docs: int, id_column: str, text
     schema += f", docs bigint, leader {kind}, open boolean"
     found = ranged.mapInArrow(_streamed(min_docs), schema)
     found = stored(found.withColumn("part", F.spark_partition_id()), "line-runs")
-    # the sums of runs at the edges of ranges, two rows a range at most: put together what belongs together
+    # the sums of runs at the edges, two rows a range at most, so they may be broadcast: put together what belongs together
     along = Window.partitionBy("h", "g").orderBy("part")
     again = F.lag("part").over(along).isNotNull() & F.lag("doc").over(along).eqNullSafe(F.col("leader"))
     sums = found.filter("open AND line = -1").withColumn("docs", F.col("docs") - again.cast("int"))
     whole = sums.groupBy("h", "g").agg(F.sum("docs").alias("all"), F.max("leader").alias("keeper"))
     whole = whole.filter(F.col("all") >= min_docs).select("h", "g", "keeper")
-    rest = found.filter("open AND line >= 0").join(whole, ["h", "g"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    rest = found.filter("open AND line >= 0").join(F.broadcast(whole), ["h", "g"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     return found.filter("NOT open").select("doc", "tk", "line").unionByName(rest.select("doc", "tk", "line"))
 
 
