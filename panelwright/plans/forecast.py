@@ -113,10 +113,11 @@ def train(
     learn = split.clip_target(split.temporal_split(learn, periods), "total_points", "element_type")
     learn = materialise(learn, "training", ["element_type"])
     names = {g: features.feature_columns(g, learn.columns) for g in fixed.POSITIONS}
-    held_in = learn.filter("split = 'train'")
-    trial = models.fit_per_group(held_in, "element_type", names, "total_points", settings)
-    scored, maes = models.validate(trial, learn.filter("split = 'val'"), "element_type", "total_points")
-    final = models.fit_per_group(learn, "element_type", names, "total_points", settings)
+    folds = {"trial": F.col("split") == "train", "final": F.lit(True)}
+    fitted = models.fit_folds(learn, "element_type", names, "total_points", settings, folds)
+    held_out = learn.filter("split = 'val'")
+    scored, maes = models.validate(fitted["trial"], held_out, "element_type", "total_points")
+    final = fitted["final"]
     return final, scored, maes, aggregates.split_counts(learn)
 
 

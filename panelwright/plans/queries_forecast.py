@@ -593,34 +593,92 @@ QUERY_SETTINGS = models.Boosting()
 
 
 def _training(spark, sf):
-    """Training rows, written by group, and each group's feature names."""
+    """Training rows, written by group, and the feature names of each group that the rows have."""
     rows = _featured(spark, sf)
-    names = {g: features.feature_columns(g, rows.columns + ["opp_def_weakness"]) for g in LABELS}
     first = t.periods(spark, sf).agg(F.min("event")).scalar()
     needed = [c for c in features.common_features() if c in rows.columns] + ["total_points"]
     learn = split.training_set(rows, first, needed)
     learn = split.temporal_split(learn, t.periods(spark, sf))
-    learn = split.clip_target(learn, "total_points", "element_type")
-    return materialise(learn, "training", ["element_type"]), names
+    learn = materialise(split.clip_target(learn, "total_points", "element_type"), "training", ["element_type"])
+    groups = learn.filter(F.col("element_type").isNotNull()).select("element_type").distinct().collect()
+    return learn, {g: features.feature_columns(g, learn.columns) for (g,) in sorted(groups)}
+
+
+def _trial(spark, sf):
+    """The training rows and the models learned from the first part of the periods."""
+    learn, names = _training(spark, sf)
+    held_in = learn.filter("split = 'train'")
+    return learn, models.fit_per_group(held_in, "element_type", names, "total_points", QUERY_SETTINGS)
 
 
 @query("gbt_validation", "MLP2 MLP5 MLP6 MLP8 AGG6")
 def gbt_validation(spark, sf):
     """Hold-out error per group of the boosted trees."""
-    learn, names = _training(spark, sf)
-    fitted = models.fit_per_group(
-        learn.filter("split = 'train'"), "element_type", names, "total_points", QUERY_SETTINGS
-    )
-    held_out = learn.filter("split = 'val'")
-    _, maes = models.validate(fitted, held_out, "element_type", "total_points")
+    learn, fitted = _trial(spark, sf)
+    _, maes = models.validate(fitted, learn.filter("split = 'val'"), "element_type", "total_points")
     return maes
 
 
-@query("gbt_per_group", "MLP5 MLP7 MLP8 SCR5 JOI10")
-def gbt_per_group(spark, sf):
-    """Refit on all rows and the forecast of the day after, by the fitted models."""
+@query(
+    "gbt_validation_checks",
+    "MLP5 MLP6 MLP8",
+    sql_with(*SQL_FEATURED, SQL_SPLIT.replace("SELECT DISTINCT event FROM matches WHERE finished", "SELECT event FROM periods"))
+    + """, learn AS (SELECT element_type, event <= (SELECT event FROM cal, bounds WHERE i = n_train) AS held_in FROM featured
+      WHERE event > (SELECT min(event) FROM periods) AND minutes_mean5 > 1 AND xgi_last IS NOT NULL)
+    SELECT element_type, count(*) FILTER (WHERE held_in) AS n_train, count(*) FILTER (WHERE NOT held_in) AS n_val,
+      count(*) FILTER (WHERE NOT held_in) AS n_scored, TRUE AS learned FROM learn
+    GROUP BY 1 HAVING count(*) FILTER (WHERE held_in) > 0""",
+)
+def gbt_validation_checks(spark, sf):
+    """What is certain of the fits: rows learned from and scored, and that each group's model learned something.
+
+    A model has learned if its mean error on its own rows is below that of their mean.
+    """
+    learn, fitted = _trial(spark, sf)
+    scored = fitted.predict(learn, "element_type")
+    held_in, held_out = F.col("split") == "train", F.col("split") == "val"
+    mean = {g: m.base for g, m in fitted.models.items()}
+    error, plain = F.abs(F.col("predicted") - F.col("total_points")), F.abs(scalars.lookup("element_type", mean) - F.col("total_points"))
+    return scored.groupBy("element_type").agg(
+        F.count_if(held_in).alias("n_train"),
+        F.count_if(held_out).alias("n_val"),
+        F.count_if(held_out & (F.col("predicted") >= 0)).alias("n_scored"),
+        (F.avg(F.when(held_in, error)) < F.avg(F.when(held_in, plain))).alias("learned"),
+    )
+
+
+def _predicted(spark, sf):
+    """The forecast of the day after by models refitted on all rows."""
     learn, names = _training(spark, sf)
     fitted = models.fit_per_group(learn, "element_type", names, "total_points", QUERY_SETTINGS)
     frame = materialise(_snapshot(spark, sf), "frame", ["element_type"])
-    out = scoring.adjust_predictions(models.score_groups(fitted, frame, "element_type"))
+    return scoring.adjust_predictions(models.score_groups(fitted, frame, "element_type"))
+
+
+@query("gbt_per_group", "MLP5 MLP7 MLP8 SCR5 JOI10")
+def gbt_per_group(spark, sf):
+    """Refit on all rows and the forecast of the day after, by the fitted models."""
+    out = _predicted(spark, sf)
     return out.select("id", "element_type", "raw_predicted_points", "predicted_points", "value")
+
+
+@query(
+    "gbt_forecast_checks",
+    "MLP7 SCR5 SCR6",
+    sql_with(*SQL_FORECAST)
+    + """SELECT id, element_type, num_fixtures, avail AS availability_score, TRUE AS in_range, TRUE AS idle_is_zero,
+      TRUE AS consistent FROM forecast""",
+)
+def gbt_forecast_checks(spark, sf):
+    """The business rules on each forecast of the fitted models: caps, no points without a match, final points."""
+    raw, doubled = F.col("raw_predicted_points"), F.col("num_fixtures") >= 2
+    cap = scalars.lookup("element_type", {k: float(v) for k, v in fixed.PREDICTION_CAP.items()})
+    # the caps are for the groups that have one; two matches have a cap of their own
+    below = cap.isNull() | (raw <= F.when(doubled, float(fixed.DOUBLE_CAP)).otherwise(cap))
+    final = F.abs(F.col("predicted_points") - raw * F.col("availability_score")) <= 0.005 + 1e-9
+    return _predicted(spark, sf).select(
+        "id", "element_type", "num_fixtures", "availability_score",
+        (raw.isNotNull() & (raw >= 0) & below).alias("in_range"),
+        ((F.col("num_fixtures") > 0) | (raw == 0)).alias("idle_is_zero"),
+        final.alias("consistent"),
+    )
