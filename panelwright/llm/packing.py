@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from panelwright.llm import buffers, pretokens, ranks
-from panelwright.llm.token_counts import _special_edges, _whole_specials
+from panelwright.llm.token_counts import Merger, _special_edges, _whole_specials
 from panelwright.llm.stored import stored
 
 END_ID = 2
@@ -175,36 +174,32 @@ def slots(runs: list[Run]) -> dict[str, np.ndarray]:
 
 
 class _Ids:
-    """Ids of pre-tokens by the tokenizer library, each asked for once while it is remembered."""
+    """Ids of pre-tokens by rank-synchronous merging, each worked out once while it is remembered."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Merger(path)
         self.clear()
 
     def clear(self) -> None:
-        self.memo, self.ids, self.used, self.places = pretokens.Memo(), np.zeros(1 << 16, np.uint32), 0, []
+        self.memo, self.ids, self.used, self.known = pretokens.Memo(), np.zeros(1 << 16, np.uint32), 0, 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.known = 0
 
-    def add(self, tokens: list[str]) -> np.ndarray:
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.uint32)
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(lists) > len(self.at):
+        while self.known + len(sizes) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.ids[self.used : self.used + len(flat)] = flat
-        new = np.arange(self.known, self.known + len(lists))
+        new = np.arange(self.known, self.known + len(sizes))
         self.at[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used, self.known = self.used + len(flat), self.known + len(lists)
+        self.used, self.known = self.used + len(flat), self.known + len(sizes)
         return new
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
         if self.used > STORE:
             self.clear()
-        specials = {x.content.encode(): i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        specials = self.merger.specials
         places = {x: pretokens.specials_of(data, offsets, x) for x in specials}
         points, at = pretokens.points_of(data, offsets)
         parts, special = at[:-1][at[:-1] < at[1:]], np.zeros(0, np.int64)
@@ -214,13 +209,21 @@ class _Ids:
         starts = pretokens.token_starts(points, parts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        inside = np.zeros(len(starts), bool)
         if len(special):
-            starts, _ = _whole_specials(starts, special, places)
+            starts, inside = _whole_specials(starts, special, places)
         ends = np.append(starts[1:], len(points))
+        to_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
 
         def fresh(new: np.ndarray) -> np.ndarray:
-            text = points.tobytes()
-            return self.add([text[4 * s : 4 * e].decode("utf-32-le") for s, e in zip(starts[new], ends[new], strict=True)])
+            first, last = to_byte[starts[new]], to_byte[ends[new]]
+            whole = inside[new]  # special strings aren't merged, they have an id
+            flat, sizes = self.merger.ids(data, first, np.where(whole, 0, last - first))
+            if whole.any():
+                one = [specials[data[a:b].tobytes()] for a, b in zip(first[whole], last[whole], strict=True)]
+                before = (np.cumsum(sizes) - sizes)[whole]
+                flat, sizes = np.insert(flat, before, one).astype(np.uint32), np.where(whole, 1, sizes)
+            return self.add(flat, sizes)
 
         which = self.memo.get(buffers.span_hashes(points, starts, ends), fresh)
         sizes = self.size[which]
@@ -229,9 +232,19 @@ class _Ids:
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
+_READ: dict[str, _Ids] = {}
+
+
+def _ids_of(path: str) -> _Ids:
+    """One reader of ids for all tasks of a worker: the file is parsed once, and what is known stays known."""
+    if path not in _READ:
+        _READ[path] = _Ids(path)
+    return _READ[path]
+
+
 def _pieces(path: str, id_column: str, text_column: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _Ids(path)
+        ids_of = _ids_of(path)
         for batch in buffers.slices(batches, text_column):
             ids, at = ids_of.encode(*buffers.texts_of(batch.column(text_column)))
             total = np.diff(at) + 1  # with the end id

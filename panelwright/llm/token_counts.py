@@ -39,7 +39,24 @@ class Merger:
 
     def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols that survive in each sequence data[start:start + length]."""
+        return self.merge(data, starts, lengths)[0]
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The surviving symbols of all sequences, one after another, and how many each has."""
+        counts, parts = self.merge(data, starts, lengths, True)
+        begins = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        for sequences, symbols in parts:
+            flat[buffers.ranges(begins[sequences], counts[sequences])] = symbols
+        return flat, counts
+
+    def merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kept: bool = False) -> tuple[np.ndarray, list]:
+        """How many symbols survive in each sequence; if asked for, also (sequences, their symbols) as they end."""
         counts = lengths.astype(np.int64).copy()
+        parts = []
+        if kept:
+            single = np.flatnonzero(lengths == 1)
+            parts.append((single, self.bytes[data[starts[single]]]))
         live = np.flatnonzero(lengths > 1)
         symbols = self.bytes[data[buffers.ranges(starts[live], lengths[live])]]
         sizes = counts[live]
@@ -66,9 +83,11 @@ class Merger:
             sizes = np.add.reduceat(stay, begins, dtype=np.int64)
             counts[live] = sizes
             going = (lowest != NONE) & (sizes > 1)
+            if kept and not going.all():
+                parts.append((live[~going], symbols[stay & np.repeat(~going, ends - begins)]))
             stay &= np.repeat(going, ends - begins)
             symbols, live, sizes = symbols[stay], live[going], sizes[going]
-        return counts
+        return counts, parts
 
 
 def _counter(path: str, id_column: str, text_column: str, limit: int):
