@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1_000_000  # working arrays hold this much text, or one longer text
+SLICE_BYTES = 250_000  # working arrays hold this much text, or one longer text
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
@@ -49,7 +49,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and where each begins and ends; null: empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return bytes_of(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of large strings or binaries without nulls, and where each row's begin and end."""
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if len(offsets) == 0 or column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # whole texts are long
 }
 
 
