@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import ranks
+from panelwright.llm.stored import stored
 
 MARKS = r"^\s*(?:>\s*)+"
 ATTRIBUTION = r"(?i)^\s*(?:on\s.+|.{1,80})\b(?:wrote|writes|said)\s*:\s*$"
@@ -66,6 +67,57 @@ def _links(parsed: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn").agg(best.alias("__source"), F.sum("votes").alias("__found"))
 
 
+def _starts(turns: DataFrame) -> DataFrame:
+    """Place of the first message of each branch in reply order: columns conv, branch, start.
+
+    turns: conv, turn, branch (the turn at which its branch begins), source (of a branch's first turn: the
+    turn answered) and rows. In reply order a message is followed by its answers, each with all that answers
+    it, in the order of turns. The next message of a branch is the first answer, so a branch comes whole, then
+    the branches that answer its messages, from its last message back, and those of one message by turn. Each
+    branch is thus preceded by its parent, or by the last branch below its sibling before; both are found by
+    pointers that double their reach, as are the sums of what precedes a branch. Nothing is gathered by
+    conversation or message.
+    """
+    branches = turns.groupBy("conv", "branch").agg(F.sum("rows").alias("rows"))
+    heads = turns.filter("turn = branch AND source IS NOT NULL").select("conv", "branch", F.col("source").alias("turn"))
+    kids = stored(heads.join(turns.select("conv", "turn", F.col("branch").alias("parent")), ["conv", "turn"]), "quotes-answers")
+    if kids.isEmpty():
+        return branches.select("conv", "branch", F.lit(0).cast("bigint").alias("start"))
+
+    # the sibling before: of the branches that answer the same message the one before, or else the last of
+    # those that answer the next message of the parent that has any
+    spanned = kids.withColumn("__span", F.floor(F.col("branch") / SPAN))
+    same = ranks.running_max(spanned, ["conv", "turn"], ["branch"], "__span", "branch", "sibling", before=True).drop("__span")
+    answered = kids.groupBy("conv", "parent", "turn").agg(F.max("branch").alias("last"))
+    back = answered.withColumn("__back", -F.col("turn")).withColumn("__last", F.struct("__back", "last"))
+    back = back.withColumn("__span", F.floor(F.col("__back") / SPAN))
+    back = ranks.running_max(back, ["conv", "parent"], ["__back"], "__span", "__last", "__prior", before=True)
+    siblings = same.join(back.select("conv", "turn", F.col("__prior.last").alias("__other")), ["conv", "turn"])
+    siblings = siblings.select("conv", "branch", "parent", F.coalesce("sibling", "__other").alias("sibling"))
+
+    below = answered.groupBy("conv", "parent").agg(F.min(F.struct("turn", (-F.col("last")).alias("last"))).alias("x"))
+    last = stored(below.select("conv", F.col("parent").alias("branch"), (-F.col("x.last")).alias("last")), "quotes-last")
+    while True:  # the last branch below each branch that has any
+        onward = last.select("conv", F.col("branch").alias("last"), F.col("last").alias("next"))
+        longer = last.join(onward, ["conv", "last"], "left")
+        longer = stored(longer.select("conv", "branch", F.coalesce("next", "last").alias("last"), F.col("next").isNotNull().alias("moved")), "quotes-last")
+        last = longer.select("conv", "branch", "last")
+        if longer.filter("moved").isEmpty():
+            break
+
+    reached = last.select("conv", F.col("branch").alias("sibling"), "last")
+    before = siblings.join(reached, ["conv", "sibling"], "left")
+    before = before.select("conv", "branch", F.coalesce("last", "sibling", "parent").alias("before"))
+    sizes = branches.select("conv", F.col("branch").alias("before"), F.col("rows").alias("start"))
+    chain = branches.join(before, ["conv", "branch"], "left").join(sizes, ["conv", "before"], "left")
+    chain = stored(chain.select("conv", "branch", "before", F.coalesce("start", F.lit(0)).alias("start")), "quotes-chain")
+    while not chain.filter("before IS NOT NULL").isEmpty():
+        onward = chain.select("conv", F.col("branch").alias("before"), F.col("before").alias("next"), F.col("start").alias("more"))
+        longer = chain.join(onward, ["conv", "before"], "left")
+        chain = stored(longer.select("conv", "branch", F.col("next").alias("before"), (F.col("start") + F.coalesce("more", F.lit(0))).alias("start")), "quotes-chain")
+    return chain.select("conv", "branch", "start")
+
+
 def thread(
     messages: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text"
 ) -> DataFrame:
@@ -74,16 +126,17 @@ def thread(
     reply_to: the turn answered: the one quoted or else the one before; null for the first. branch: the
     turn at which the message's line of talk begins; a message that quotes another one than the message
     before begins a branch, the messages after it go on with it. position: place in the conversation when
-    branches follow each other. n_linked: quoted passages found in earlier messages; those not found are
-    taken out of the text as well. An attribution line before a quote goes with it.
+    each message is followed by all that answers it, directly or not, earlier answers first. n_linked: quoted
+    passages found in earlier messages; those not found are taken out of the text as well. An attribution
+    line before a quote goes with it.
 
     Null or empty text: an empty message. Null conversation: a conversation of its own. A null turn comes
     first and takes no part in links. Repeated turns and rows are kept, ordered by role and text; they
     share the links of their turn. Other columns are ignored, whatever their names. Empty table: empty.
     """
     wanted = {"conv_id": conv_column, "turn": turn_column, "role": role_column, "text": text_column}
-    parsed = parse(messages.select(*[F.col(c).alias(k) for k, c in wanted.items()]))
-    turns = parsed.groupBy("conv_id", "turn").agg(F.lit(None).cast("long").alias("__none")).drop("__none")
+    parsed = stored(parse(messages.select(*[F.col(c).alias(k) for k, c in wanted.items()])), "quotes-parsed")
+    turns = parsed.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("rows"))
     turns = turns.filter("turn IS NOT NULL").withColumn("__span", F.floor(F.col("turn") / SPAN))
     turns = ranks.running_max(turns, ["conv_id"], ["turn"], "__span", "turn", "__previous", before=True)
     links = _links(parsed).select(
@@ -93,18 +146,28 @@ def thread(
     turns = turns.join(links, same, "left").drop("__conv", "__turn")
     begins = F.col("__previous").isNull() | (F.col("__source") != F.col("__previous"))
     turns = turns.withColumn("__begin", F.when(begins, F.col("turn")))
-    turns = ranks.running_max(turns, ["conv_id"], ["turn"], "__span", "__begin", "__branch")
-    turns = turns.select(
-        F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "__branch", F.coalesce("__source", "__previous").alias("reply_to"),
-        F.coalesce("__found", F.lit(0)).cast("bigint").alias("n_linked"),
+    turns = ranks.running_max(turns, ["conv_id"], ["turn"], "__span", "__begin", "branch")
+    turns = stored(turns.select(
+        F.struct("conv_id").alias("conv"), "turn", "branch", "rows", F.when(begins, F.col("__source")).alias("source"),
+        F.coalesce("__source", "__previous").alias("reply_to"), F.coalesce("__found", F.lit(0)).cast("bigint").alias("n_linked"),
+    ), "quotes-turns")
+    loose = parsed.filter("turn IS NULL").groupBy(F.struct("conv_id").alias("conv")).agg(F.count(F.lit(1)).alias("loose"))
+    known = turns.join(_starts(turns), ["conv", "branch"]).join(loose, "conv", "left")
+    known = known.select(
+        F.col("conv").alias("__conv"), F.col("turn").alias("__turn"), "branch", "reply_to", "n_linked",
+        (F.col("start") + F.coalesce("loose", F.lit(0))).alias("__start"),
     )
-    # branches begin in the order of turns, so reply order is the order of (branch, turn)
-    joined = parsed.drop("__passages").join(turns, same, "left")
-    joined = joined.withColumn("__span", F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(-(1 << 62)))).withColumn("__one", F.lit(1).cast("bigint"))
-    order = [F.col("__branch").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    joined = ranks.running_sum(joined, ["conv_id"], order, "__span", "__one", "position")
-    return joined.select(
+    joined = parsed.drop("__passages").withColumn("conv", F.struct("conv_id"))
+    joined = joined.join(known, (F.col("conv") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left")
+    joined = joined.withColumn("__one", F.lit(1).cast("bigint")).drop("__conv", "__turn")
+    # rows without a turn are dealt by a hash, as any number of them may share a conversation
+    some = F.pmod(F.xxhash64("role", "text"), F.lit(SPAN)) - (1 << 62)
+    joined = joined.withColumn("__span", F.coalesce(F.floor(F.col("turn") / SPAN), some))
+    joined = joined.withColumn("__hash", F.when(F.col("turn").isNull(), F.xxhash64("role", "text")))
+    order = [F.col("turn").asc_nulls_first(), "__hash", "role", "text"]
+    placed = ranks.running_sum(joined, ["conv", "branch"], order, "__span", "__one", "__place")
+    return placed.select(
         F.col("conv_id").alias(conv_column), F.col("turn").alias(turn_column), F.col("role").alias(role_column), "reply_to",
-        F.col("__branch").alias("branch"), (F.col("position") - 1).alias("position"),
+        "branch", (F.coalesce("__start", F.lit(0)) + F.col("__place") - 1).alias("position"),
         F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"), F.col("__own").alias("text"),
     )
