@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by merging Burrows-Wheeler transforms of shards."""
+"""Exact removal of repeated byte strings: the surroundings of shared anchors, merged by refining interleaves."""
 
 from __future__ import annotations
 
@@ -18,7 +18,9 @@ from panelwright.llm.stored import stored
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 ROUNDS = 5  # symbols of a repeated string
 SHARD_BYTES = 250_000  # bytes of contexts that form a shard
-MERGE_BYTES = 1_500_000  # bytes merged at once; an anchor with more of them in its contexts is decided by counts
+MERGE_BYTES = 1_500_000  # bytes merged at once; an anchor with more of them in its contexts is split by ranges of strings
+NODE = ["weight", "tk", "size", "at", "low", "high", "first", "around"]
+ROWS = "core bigint, whole bigint, weight int, tk bigint, size bigint, at bigint, low int, high int, first bigint, around binary"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -81,12 +83,13 @@ class Contexts:
 def merge(c: Contexts, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Context and place within it of each string of `length` bytes that starts at two places or more.
 
-    A symbol is a fifth of `length` in bytes, named by its fingerprint. Each shard's suffixes are first
-    sorted by one symbol on their own, and their columns interleaved. In
-    every round a suffix's predecessor by one symbol takes its place by that symbol, and within it by the
-    interleave of the round before: the step of a Burrows-Wheeler transform from suffix to predecessor,
-    shared by all shards, so no suffix is compared again. Neighbours that differ are parted; the round
-    tells their common prefix. What stands alone can't repeat, nor can its predecessors, and is left out.
+    A symbol is a fifth of `length` in bytes, named by its fingerprint. Each shard's suffixes are sorted by one
+    symbol on their own; the sorted columns are interleaved. In every round a suffix's predecessor by one
+    symbol takes its place by that symbol, and within it by the interleave of the round before, so no suffix
+    is compared beyond one symbol. This is the refinement of interleaves of Burrows-Wheeler transforms, but no
+    transform is stored: the symbol before a suffix is looked up by its place. Neighbours that differ are
+    parted; the round tells their common prefix. What stands alone can't repeat, nor can its predecessors,
+    and is left out.
     The intervals that last until `length` bytes are the repeated strings.
     """
     step = length // ROUNDS
@@ -160,54 +163,64 @@ def _found(length: int):
 
 
 def _shipped(length: int):
-    """The bytes around each anchor asked for, once in a task."""
+    """The bytes around each anchor asked for; copies of a text follow each other and ship once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        before = None
         for batch in buffers.slices(batches, "text"):
             out: list[tuple] = []
             for text, tk, size, asked in zip(*(batch.column(x) for x in ("text", "tk", "size", "asked")), strict=True):
-                tk, size = tk.as_py(), size.as_py()
-                if (tk, size) in sent:
-                    continue  # a copy
-                sent.add((tk, size))
-                raw = text.as_py().encode()
+                key = tk.as_py(), size.as_py()
+                if key == before:
+                    continue
+                before, raw = key, text.as_buffer()
                 for a in asked.as_py():
                     first = max(0, a["at"] - length // 2)
-                    out.append((a["h"], tk, size, first, a["n"] > 1, raw[first : a["at"] + length]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                    out.append((a["h"], *key, a["at"], first, a["n"] > 1, raw[first : a["at"] + length].to_pybytes()))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["h", "tk", "size", "first", "copied", "around"]
+                [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["h", "tk", "size", "at", "first", "copied", "around"]
             )
 
     return run
 
 
-def _strings(length: int):
-    """Each string of `length` bytes with the anchor asked for in it: its distance before the anchor and a hash of both."""
+def _halved(length: int):
+    """Both halves of each row's range of distances, where a string of them lies within the text.
+
+    A row stands for the strings of `length` bytes that begin low to high bytes before the anchor. All of
+    them hold the core, from low bytes before the anchor on; whole is everything they cover together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in buffers.slices(batches, "text"):
-            data, offsets = buffers.texts_of(batch.column("text"))
-            asked = batch.column("asked")
-            row = np.repeat(np.arange(len(batch)), pc.list_value_length(asked).to_numpy())
-            a = asked.flatten()
-            at, h = (a.field(x).to_numpy() for x in ("at", "h"))
-            place, size = offsets[row] + at, np.diff(offsets)[row]
-            # from the least distance whose string ends within the text to the largest that begins within it
-            least = np.maximum(at + length - size, 0)
-            number = np.maximum(np.minimum(at, length // 2) - least + 1, 0)
-            which, before = np.repeat(np.arange(len(at)), number), buffers.ranges(least, number)
-            starts = place[which] - before
-            values = np.zeros(0, np.uint64)
-            if len(starts):
-                values = buffers.mix(buffers.span_hashes(data, starts, starts + length) + before.astype(np.uint64))
-            kept = [batch.column(x).take(pa.array(row[which])) for x in ("tk", "size")]
+        for batch in batches:
+            size, at, low, high, first = (batch.column(x).to_numpy().astype(np.int64) for x in ("size", "at", "low", "high", "first"))
+            around = batch.column("around").cast(pa.large_binary())
+            data, offsets = buffers.bytes_of(around)
+            middle = (low + high) // 2
+            row = np.tile(np.arange(len(batch)), 2)
+            low, high = np.concatenate([low, middle + 1]), np.concatenate([middle, high])
+            size, at, first = size[row], at[row], first[row]
+            some = (low <= high) & (np.maximum(low, at + length - size) <= np.minimum(high, at))
+            row, low, high, size, at, first = (x[some] for x in (row, low, high, size, at, first))
+            begin, stop = np.maximum(at - high, 0), np.minimum(at - low + length, size)
+            base = offsets[:-1][row] - first
+            core = whole = np.zeros(0, np.uint64)
+            if len(row):
+                node = buffers.mix((low << 32 | high).astype(np.uint64))
+                core = buffers.mix(buffers.span_hashes(data, base + at - low, base + at - high + length) ^ node)
+                whole = buffers.mix(buffers.span_hashes(data, base + begin, base + stop) ^ buffers.mix(node + (at - begin).astype(np.uint64)))
+            lengths = stop - begin
+            flat = data[buffers.ranges(base + begin, lengths)]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            taken = [batch.column(x).take(pa.array(row)) for x in ("weight", "tk", "size", "at")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[which]), pa.array(values.view(np.int64)), *kept, pa.array(at[which]), pa.array(before)],
-                names=["h", "s", "tk", "size", "at", "before"],
-            )
+                [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), *taken, pa.array(low.astype(np.int32)),
+                 pa.array(high.astype(np.int32)), pa.array(begin), kept.cast(pa.binary())],
+                names=["core", "whole", *NODE],
+            )
 
     return run
 
@@ -295,20 +308,31 @@ def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.withColumns({"tk": F.xxhash64(text), "size": F.octet_length(text).cast("bigint")})
 
 
-def _counted(asked: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated strings around the anchors asked for, by counts of their strings."""
-    schema = "h bigint, s bigint, tk bigint, size bigint, at bigint, before bigint"
-    strings = stored(asked.mapInArrow(_strings(length), schema), "suffix-strings")
-    place = F.struct("tk", "size", "at")  # the same for all copies of a text, which are counted as contexts
-    twice = strings.groupBy("h", "s").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "s")
-    again = strings.join(twice, ["h", "s"], "left_semi").groupBy("tk", "size", "h", "at")
-    again = again.agg(F.array_sort(F.collect_set("before")).alias("d"))  # half of `length` and one at most
-    low = F.filter("d", lambda x: ~F.array_contains("d", x - 1))
-    high = F.filter("d", lambda x: ~F.array_contains("d", x + 1))
-    each = again.select("tk", "size", "at", F.explode(F.arrays_zip(low.alias("low"), high.alias("high"))).alias("r"))
-    return each.select(
-        "tk", "size", (F.col("at") - F.col("r.high")).alias("begin"), (F.col("at") - F.col("r.low") + length).alias("stop")
-    )
+def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
+    """Runs of repeated strings around anchors with very many contexts, by halving ranges of strings.
+
+    A context stands for the strings around its anchor, a range of distances from it. Round by round ranges
+    are halved: one whose bytes as a whole occur twice is settled, all its strings repeat; one whose core, the
+    bytes that all its strings share, occurs once is dropped, none does; what is left is halved again, until a
+    range is one string. A round only counts hashes, with map-side combination, and semi-joins the counts, so
+    the contexts of an anchor never meet in a task, however many they are.
+    """
+    whole_range = (F.lit(0).alias("low"), F.lit(length // 2).alias("high"))
+    weight = F.when(F.col("copied"), 2).otherwise(1).alias("weight")
+    nodes = shipped.select(weight, "tk", "size", "at", *whole_range, "first", "around")
+    high, found = length // 2, []
+    while high:
+        high //= 2
+        rows = stored(nodes.mapInArrow(_halved(length), ROWS), "suffix-ranges")
+        kinds = rows.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct(*NODE[1:])).alias("one"))
+        kinds = stored(kinds, "suffix-kinds")
+        again = rows.filter("weight = 1").join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+        begin, stop = F.greatest(F.col("at") - F.col("high"), F.lit(0)), F.least(F.col("at") - F.col("low") + length, F.col("size"))
+        found.append(stored(again.select("tk", "size", begin.alias("begin"), stop.alias("stop")), "suffix-runs"))
+        open_ = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
+        going = kinds.join(open_.select("core"), "core", "left_semi")
+        nodes = going.select(F.least(F.col("n"), F.lit(2)).cast("int").alias("weight"), "one.*")
+    return found
 
 
 def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
@@ -319,8 +343,8 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
        passages that many documents share never meet in a task.
     3. The other contexts of an anchor that has several are shipped once and merged, if they are no more
        than a task merges at once.
-    4. Those of an anchor with more are counted string by string with map-side combination: equal strings
-       have the anchor at an equal distance. So no task holds the contexts of such an anchor.
+    4. An anchor with more of them, at the edge of what very many documents share, is split: ranges of its
+       strings are told apart by counts, halved round by round (see _refined).
     """
     keyed = _keyed(docs, text_column).select("tk", "size", F.col(text_column).alias("text"))
     read = keyed.filter(F.col("size") >= length)
@@ -339,9 +363,8 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
         ask = ask.groupBy("tk", "size").agg(F.collect_list("a").alias("asked"))  # as many as fit the text
         return read.join(ask, ["tk", "size"]).select("text", "tk", "size", "asked")
 
-    shipped = asking(open_.filter(F.col("k") <= most), kinds).mapInArrow(
-        _shipped(length), "h bigint, tk bigint, size bigint, first bigint, copied boolean, around binary"
-    )
+    ships = "h bigint, tk bigint, size bigint, at bigint, first bigint, copied boolean, around binary"
+    shipped = asking(open_.filter(F.col("k") <= most), kinds).mapInArrow(_shipped(length), ships)
     dealt = shipped.repartition("h").sortWithinPartitions("h")
     open_runs = dealt.mapInArrow(_merged(length), "tk bigint, size bigint, begin bigint, stop bigint")
     whole = some.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("tk", "size", "at").distinct()
@@ -351,7 +374,8 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     found = open_runs.unionByName(whole)
     many = open_.filter(F.col("k") > most)
     if not many.isEmpty():
-        found = found.unionByName(_counted(asking(many, kinds), length))
+        for part in _refined(asking(many, kinds).mapInArrow(_shipped(length), ships), length):
+            found = found.unionByName(part)
     runs = stored(found, "suffix-runs")
     return runs.groupBy("tk", "size").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
 

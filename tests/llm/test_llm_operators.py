@@ -108,8 +108,8 @@ def test_suffixes(spark, sample):
     assert cleaned.columns == frame.columns and cleaned.count() == len(texts)
 
 
-def test_suffixes_of_a_hot_anchor(spark, monkeypatch):
-    """A passage that many unlike texts share: no task merges all of its surroundings, and nothing is missed."""
+def test_suffixes_of_a_hot_anchor(spark):
+    """A passage that many unlike texts share, all of them different beside it: nothing is missed."""
     rng = random.Random(8)
     some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passage = some(320)
@@ -123,30 +123,34 @@ def test_suffixes_of_a_hot_anchor(spark, monkeypatch):
             if seen[hash(t[i : i + 200])] > 1:
                 gone[i : i + 200] = b"\1" * 200
         want[k] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(t.encode(), gone, strict=True) if not g)).hexdigest())
-    merged, most = suffixes._merged, suffixes.MERGE_BYTES
-
-    def watched(length):
-        run = merged(length)
-
-        def watch(batches):
-            weights = Counter()
-
-            def each():
-                for batch in batches:
-                    for h, x in zip(batch.column("h").to_pylist(), batch.column("around").to_pylist(), strict=True):
-                        weights[h] += len(x)
-                    assert max(weights.values(), default=0) <= most, "too much of one anchor in a task"
-                    yield batch
-
-            yield from run(each())
-
-        return watch
-
-    monkeypatch.setattr(suffixes, "_merged", watched)
     got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffixes.removed(docs_of(spark, texts)).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_suffixes_random(spark, seed, monkeypatch):
+    """Texts pieced together from few parts, and texts that repeat as rows, with short strings; anchors split or not."""
+    rng = random.Random(seed)
+    if seed:
+        monkeypatch.setattr(suffixes, "MERGE_BYTES", [0, 60, 400][seed])
+    some = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    parts = [some(rng.randint(1, 60)) for _ in range(9)]
+    texts = ["".join(rng.choice(parts) + some(rng.randint(0, 4)) for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    texts += [rng.choice(texts) for _ in range(20)] + [None, "", "ab" * 5000]
+    raws = [(t or "").encode() for t in texts]
+    for length in (10, 20, 40):
+        seen = Counter(b[i : i + length] for b in raws for i in range(len(b) - length + 1))
+        want = []
+        for k, b in enumerate(raws):
+            gone = bytearray(len(b))
+            for i in range(len(b) - length + 1):
+                if seen[b[i : i + length]] > 1:
+                    gone[i : i + length] = b"\1" * length
+            spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+            want.append((k, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+        assert sorted(tuple(r) for r in suffixes.removed(docs_of(spark, texts), length).collect()) == want
+
+
 def test_jaccard(spark, sample):
     base = [f"w{i}" for i in range(300)]
     texts = [None, "", "a b c", "A B  c", "q " * 50, "Q q q q q", " ".join(base), " ".join(base[:290]), " ".join(base[:200]), "a b c"]
