@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.functions.scalars import null_if_nan
 from panelwright.operators.joins import attach
-
-SKETCH_ACCURACY = 20_000
+from panelwright.operators.order_stats import percentiles
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], column: str, to: str | None = None) -> DataFrame:
@@ -96,64 +94,11 @@ def validation_summary(
 def group_percentiles(
     df: DataFrame, column: str, by: Sequence[str], shares: Sequence[float]
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, for groups of any size.
+    """Exact linear-interpolated percentiles per group, for groups of any size: `by`, share, value.
 
-    The built-in exact percentile keeps all distinct values of a group in one task. Here a
-    sketch first brackets each wanted rank; rows outside the bracket are only counted, and just
-    the values inside it are sorted. Result: `by`, share, value.
+    Brackets are narrowed over the rows until few values are left (see order_stats); runs jobs at once.
     """
-    by = list(by)
-    values = df.select(*by, F.col(f"`{column}`").cast("double").alias("__x"))
-    values = values.filter(null_if_nan("__x").isNotNull())
-    slack = 5.0 / SKETCH_ACCURACY
-
-    def edge(share: float) -> Column:
-        return F.percentile_approx("__x", min(max(share, 0.0), 1.0), SKETCH_ACCURACY)
-
-    # at the ends of the range the bracket runs to the extreme value itself
-    brackets = [
-        F.struct(
-            F.lit(float(s)).alias("share"),
-            (F.min("__x") if s - slack <= 0 else edge(s - slack)).alias("low"),
-            (F.max("__x") if s + slack >= 1 else edge(s + slack)).alias("high"),
-        )
-        for s in shares
-    ]
-    plan = values.groupBy(*by).agg(F.count("*").alias("__n"), F.array(*brackets).alias("__b"))
-    if by:
-        inside = attach(values, plan, by, how="inner")
-    else:
-        whole = plan.select(F.struct("__n", "__b")).scalar()
-        inside = values.select("__x", whole.alias("__s")).select("__x", "__s.*")
-    rows = inside.select(*by, "__n", "__x", F.inline("__b"))
-    zone = F.when(F.col("__x") < F.col("low"), -1).when(F.col("__x") > F.col("high"), 1).otherwise(0)
-    rows = rows.withColumn("__zone", zone)
-    kept = F.when(F.col("__zone") == 0, F.col("__x")).alias("__v")
-    counted = rows.groupBy(*by, "share", "__n", "__zone", kept).agg(
-        F.count("*").alias("__c"), F.min("__x").alias("__least"), F.max("__x").alias("__most")
-    )
-    spec = Window.partitionBy(*by, "share").orderBy("__zone", "__v")
-    end = F.sum("__c").over(spec.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__c"))
-    position = F.col("share") * (F.col("__n") - 1)
-
-    def at(rank: Column) -> Column:
-        # of the rows outside the bracket only the ones next to it are known by value
-        hit = (F.col("__start") <= rank) & (rank < F.col("__end"))
-        last_below = (F.col("__zone") == -1) & (rank == F.col("__end") - 1)
-        first_above = (F.col("__zone") == 1) & (rank == F.col("__start"))
-        value = F.when(F.col("__zone") == 0, F.col("__v"))
-        value = value.when(last_below, F.col("__most")).when(first_above, F.col("__least"))
-        return F.max(F.when(hit, value))
-
-    low_value, high_value = at(F.floor(position)), at(F.ceil(position))
-    picked = ranked.groupBy(*by, "share", "__n").agg(
-        low_value.alias("__lo"), high_value.alias("__hi")
-    )
-    step = position - F.floor(position)
-    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * step
-    missed = F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
-    return picked.select(*by, "share", F.coalesce(value, missed).alias("value"))
+    return percentiles(df, [column], by, shares).drop("column")
 
 
 def column_stats(

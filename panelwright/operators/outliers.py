@@ -11,6 +11,7 @@ from panelwright.functions.scalars import clip, scale_min_max
 from panelwright.operators import clean
 from panelwright.operators.aggregates import column_stats
 from panelwright.operators.joins import attach
+from panelwright.operators.order_stats import percentiles
 from panelwright.operators.ranking import top_by_limit
 
 
@@ -50,11 +51,11 @@ def flag_outliers(
     y: str,
     factor: float = fixed.RESIDUAL_FACTOR,
     percentile: float = fixed.TOP_PERCENTILE,
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Far from the line, or among the top values (OUT3, FLT11).
 
-    bounded: groups were cut to a top-n before; pass False for whole tables.
+    bounded=True says that groups were cut to a top-n before, so that a task can sort one.
     """
     spread = df.groupBy(group).agg(F.stddev_pop("resid").alias("resid_std"))
     tops = column_stats(df, y, [group], percentile, bounded).select(group, F.col("p").alias("y_top"))
@@ -70,12 +71,18 @@ def quadrant(
     x: str,
     y: str,
     texts: Mapping[str, str] = fixed.QUADRANTS,
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Quadrant by the group medians (OUT4): low x is below, high y is above its median."""
-    mid_x = column_stats(df, x, [group], bounded=bounded).select(group, F.col("median").alias("x_mid"))
-    mid_y = column_stats(df, y, [group], bounded=bounded).select(group, F.col("median").alias("y_mid"))
-    out = attach(attach(df, mid_x, group), mid_y, group)
+    if bounded:
+        middles = df.groupBy(group).agg(F.median(F.col(f"`{x}`")).alias("x_mid"), F.median(F.col(f"`{y}`")).alias("y_mid"))
+    else:
+        both = percentiles(df, [x, y], [group], [0.5])
+        middles = both.groupBy(group).agg(
+            F.max(F.when(F.col("column") == x, F.col("value"))).alias("x_mid"),
+            F.max(F.when(F.col("column") == y, F.col("value"))).alias("y_mid"),
+        )
+    out = attach(df, middles, group)
     low, high = F.col(x) < F.col("x_mid"), F.col(y) > F.col("y_mid")
     label = (
         F.when(low & high, texts["low_high"])

@@ -10,7 +10,8 @@ from panelwright import fixed_values as fixed
 from panelwright.functions.scalars import falsy_default
 from panelwright.functions.windows import rank_in_group
 
-MAX_CALENDAR = 100_000
+CALENDAR_BYTES = 4 << 20  # of a calendar that each task holds
+_WIDTHS = {"byte": 1, "short": 2, "integer": 4, "long": 8, "date": 4, "timestamp": 8}
 
 
 def mirror_sides(
@@ -76,33 +77,31 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def _calendar(periods: DataFrame, period: str) -> Column:
-    """Sorted distinct periods as a scalar subquery; refuses a calendar over MAX_CALENDAR."""
-    found = F.array_sort(F.collect_set(period))
-    too_long = F.raise_error(
-        F.lit(f"more than {MAX_CALENDAR} periods: use complete_panel(..., spread=n)")
-    ).cast("array<int>")
-    return periods.agg(F.when(F.size(found) <= MAX_CALENDAR, found).otherwise(too_long)).scalar()
+def grid(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event") -> DataFrame:
+    """Every entity with every period (JOI14), for calendars of any length.
 
+    The periods are counted first. A calendar of up to CALENDAR_BYTES, as good as any, is an array that each
+    entity row explodes where it is: no join, and the result is partitioned by entity as the ids are. A longer
+    one is copied once per bucket of entities, by a join on the bucket that spills like any other, and the
+    pairs, two narrow columns, are then dealt by entity.
+    """
+    entities, days = _distinct(ids, entity), _distinct(periods, period)
+    width = _WIDTHS.get(days.schema[period].dataType.typeName(), 64)
+    if days.count() * width > CALENDAR_BYTES:
+        return replicated_grid(ids, periods, entity, period).repartition(entity)
+    return entities.select(entity, F.explode(days.agg(F.array_sort(F.collect_list(period))).scalar()).alias(period))
 
-def grid(
-    ids: DataFrame, periods: DataFrame, entity: str, period: str = "event", spread: int = 0
-) -> DataFrame:
-    """Every entity with every period (JOI14).
 
-    The calendar is one small array (bounded by MAX_CALENDAR) that each entity row explodes where
-    it is: no join and no shuffle. For calendars beyond the bound, spread=n deals the periods
-    over n buckets and pairs them with an equi-join on the bucket.
-    """
-    entities = ids.select(entity).filter(F.col(entity).isNotNull()).distinct()
-    if not spread:
-        return entities.select(entity, F.explode(_calendar(periods, period)).alias(period))
-    buckets = F.sequence(F.lit(0), F.lit(spread - 1))
-    dealt = periods.select(period).filter(F.col(period).isNotNull()).distinct()
-    dealt = dealt.withColumn("__bucket", F.pmod(F.hash(period), F.lit(spread)))
-    return (
-        entities.withColumn("__bucket", F.explode(buckets)).join(dealt, "__bucket").drop("__bucket")
-    )
+def replicated_grid(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event") -> DataFrame:
+    """Every entity with every period, by a copy of the periods for each bucket of entities."""
+    buckets = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = _distinct(ids, entity).withColumn("__bucket", F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int"))
+    copies = _distinct(periods, period).withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return mine.join(copies, "__bucket").drop("__bucket")
+
+
+def _distinct(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).filter(F.col(column).isNotNull()).distinct()
 
 
 def complete_panel(
@@ -113,14 +112,13 @@ def complete_panel(
     period: str = "event",
     stats: Sequence[str] | None = None,
     fills: Mapping[str, float] | None = None,
-    spread: int = 0,
 ) -> DataFrame:
     """Dense entity x period panel with defaults in the gaps (RSH2).
 
     facts must have one row per (entity, period). Unlisted fills are 0.
 
     Only ids and the sparse facts are shuffled, by entity; the grid is exploded after that, where
-    it stays. Grid rows and facts are put next to each other by one sort on (entity, period), and
+    it stays (of a very long calendar also the pairs of entity and period, see grid). Grid rows and facts are put next to each other by one sort on (entity, period), and
     each grid row takes the fact right before it. The result is partitioned by entity and sorted,
     so windows over the entity's periods need neither another exchange nor another sort.
     """
@@ -129,9 +127,7 @@ def complete_panel(
     ]
     defaults = {s: 0.0 for s in stats} | dict(fills or {})
     kinds = dict(facts.dtypes)
-    skeleton = grid(ids, periods, entity, period, spread)
-    if spread:
-        skeleton = skeleton.repartition(entity)
+    skeleton = grid(ids, periods, entity, period)
     empty = [F.lit(None).cast(kinds[s]).alias(s) for s in stats]
     wanted = skeleton.select(entity, period, F.lit(1).alias("__grid"), *empty)
     known = facts.repartition(entity).select(entity, period, F.lit(0).alias("__grid"), *stats)

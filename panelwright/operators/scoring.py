@@ -11,6 +11,7 @@ from panelwright.functions import scalars
 from panelwright.operators import clean, joins, ranking
 from panelwright.operators.aggregates import validation_summary
 from panelwright.operators.features import interaction_columns, snapshot_columns
+from panelwright.operators.split import periods_tail
 
 
 def with_availability(latest: DataFrame, players: DataFrame, entity: str = "player_id") -> DataFrame:
@@ -175,7 +176,6 @@ def entity_trace(
     hit = clean.name_search(predictions, name, query).orderBy(key).limit(1)
     wanted = hit.select(F.col(key).alias(entity))
     rows = joins.restrict_to(panel, wanted, entity)
-    recent = F.slice(F.reverse(F.array_sort(F.collect_set("event"))), 1, n)
-    rows = rows.filter(F.array_contains(periods.agg(recent).scalar(), F.col("event")))
+    rows = joins.restrict_to(rows, periods_tail(periods, n), "event")
     last = clean.rename_map(clean.select_present(rows.orderBy("event"), list(headers)), headers)
     return hit, last

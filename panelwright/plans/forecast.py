@@ -69,7 +69,7 @@ def clean_history(history: DataFrame, double: str = "first") -> DataFrame:
     """
     out = clean.first_present(history, ["round", "event"], "event")
     out = clean.numeric_columns(out, fixed.HISTORY_STATS, default=0.0)
-    out = out.withColumns({c: F.col(c).cast("int") for c in ("player_id", "event")})
+    out = out.withColumns({"player_id": F.col("player_id").cast("bigint"), "event": F.col("event").cast("int")})
     out = clean.require(out, ["player_id", "event"])
     if double == "sum":
         totals = [F.sum(s).alias(s) for s in fixed.HISTORY_STATS]

@@ -11,7 +11,7 @@ from panelwright.operators import clean
 from panelwright.plans import tables as t
 from panelwright.plans.registry import query
 from panelwright.session import scratch_path
-from panelwright.sources import feeds, schemas, sinks
+from panelwright.sources import feeds, manifest, schemas, sinks
 from panelwright.streaming import refresh
 
 CHUNK = 500
@@ -27,7 +27,7 @@ def _documents(df, key: str, **arrays):
 @query(
     "json_array_scan",
     "SRC1",
-    """SELECT c_custkey::INTEGER AS id, c_name AS web_name, c_nationkey AS team FROM customer""",
+    """SELECT c_custkey::BIGINT AS id, c_name AS web_name, c_nationkey::BIGINT AS team FROM customer""",
 )
 def json_array_scan(spark, sf):
     customer = t.table(spark, sf, "customer")
@@ -42,7 +42,7 @@ def json_array_scan(spark, sf):
     "json_records_scan",
     "SRC2 SNK3",
     t.sql_with(t.SQL_MATCHES)
-    + """SELECT fixture_id::INTEGER AS id, event, finished::VARCHAR AS finished, team_h, team_a, team_h_difficulty,
+    + """SELECT fixture_id::BIGINT AS id, event, finished::VARCHAR AS finished, team_h::BIGINT AS team_h, team_a::BIGINT AS team_a, team_h_difficulty,
       team_a_difficulty, team_h_score, team_a_score FROM matches""",
 )
 def json_records_scan(spark, sf):
@@ -58,14 +58,14 @@ def json_records_scan(spark, sf):
 @query(
     "entity_history_scan",
     "SRC3",
-    """SELECT c_nationkey AS player_id, c_custkey::INTEGER AS fixture, (c_custkey % 38)::INTEGER AS round,
+    """SELECT c_nationkey::BIGINT AS player_id, c_custkey::BIGINT AS fixture, (c_custkey % 38)::INTEGER AS round,
       c_acctbal::VARCHAR AS total_points FROM customer""",
 )
 def entity_history_scan(spark, sf):
     """One payload folder per nation, the nation only in the path."""
     customer = t.table(spark, sf, "customer")
     row = F.struct(
-        F.col("c_custkey").cast("int").alias("fixture"),
+        F.col("c_custkey").alias("fixture"),
         (F.col("c_custkey") % 38).cast("int").alias("round"),
         F.col("c_acctbal").cast("string").alias("total_points"),
     )
@@ -110,7 +110,7 @@ def csv_roundtrip(spark, sf):
 @query(
     "codes_scan",
     "SRC6 SNK1",
-    "SELECT c_custkey::INTEGER AS id, c_name AS web_name, c_nationkey AS team FROM customer",
+    "SELECT c_custkey::BIGINT AS id, c_name AS web_name, c_nationkey::BIGINT AS team FROM customer",
 )
 def codes_scan(spark, sf):
     codes = t.table(spark, sf, "customer").selectExpr("c_custkey id", "c_name web_name", "c_nationkey team")
@@ -129,8 +129,8 @@ def latest_partition(spark, sf):
     orders = t.table(spark, sf, "orders").select(
         "o_orderkey", "o_totalprice", (F.year("o_orderdate") - 1990).alias("gw")
     )
-    path = sinks.write_parquet(orders, scratch_path(spark, "by-period"), ["gw"])
-    return feeds.latest_partition(spark.read.schema(orders.schema).parquet(path), "gw")
+    path = sinks.write_by_period(orders, scratch_path(spark, "by-period"), "gw")
+    return feeds.read_newest(spark, path, orders.schema, "gw")
 
 
 @query(
@@ -162,11 +162,9 @@ def partitioned_export(spark, sf):
     base = scratch_path(spark, "export")
     for period in (9, 12):
         sinks.export_all(tables, base, period, formats)
-    schema = T.StructType.fromDDL("id bigint, amount double, gw int")
     out = None
-    for name, fmt in formats.items():
-        rows = spark.read.schema(schema).option("header", True).format(fmt).load(f"{base}/{name}")
-        newest = feeds.latest_partition(rows, "gw").select(F.lit(name).alias("name"), "id", "amount", "gw")
+    for name in formats:
+        newest = manifest.read_export(spark, base, name).select(F.lit(name).alias("name"), "id", "amount", "gw")
         out = newest if out is None else out.unionByName(newest)
     return out
 

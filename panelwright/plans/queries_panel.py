@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright import fixed_values as fixed
 from panelwright.functions import scalars, text, windows
-from panelwright.operators import aggregates, clean, features, joins, panel, ranking, split
+from panelwright.operators import aggregates, clean, features, joins, order_stats, panel, ranking, split
 from panelwright.plans import tables as t
 from panelwright.plans.registry import query
 from panelwright.plans.tables import rint, s6, sql_sides, sql_with
@@ -331,7 +331,7 @@ def complete_panel(spark, sf):
 )
 def grid_spread(spark, sf):
     ids = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("player_id"))
-    return panel.grid(ids, t.periods(spark, sf), "player_id", spread=8)
+    return panel.replicated_grid(ids, t.periods(spark, sf), "player_id")
 
 
 @query(
@@ -645,6 +645,37 @@ def rank_in_group(spark, sf):
     return ranked.filter("rank <= 25").drop("c_acctbal")
 
 
+@query(
+    "whole_ranks",
+    "WIN9 SRT2",
+    """SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank,
+      row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank_overall FROM customer""",
+)
+def whole_ranks(spark, sf):
+    """The place of every row in its group and overall, without a group or the table in one task."""
+    order = [F.col("c_acctbal").desc(), F.col("c_custkey")]
+    customer = t.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    grouped = order_stats.exact_ranks(customer, ["c_nationkey"], order)
+    return order_stats.exact_ranks(grouped, [], order, "rank_overall").drop("c_acctbal")
+
+
+@query(
+    "many_percentiles",
+    "AGG10",
+    """SELECT l_returnflag, c AS column, share, round(CASE c WHEN 'l_extendedprice' THEN CASE share WHEN 0.05 THEN a1 WHEN 0.5 THEN a2 ELSE a3 END
+      ELSE CASE share WHEN 0.05 THEN b1 WHEN 0.5 THEN b2 ELSE b3 END END, 4) AS value
+    FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS a1, quantile_cont(l_extendedprice, 0.5) AS a2,
+      quantile_cont(l_extendedprice, 0.99) AS a3, quantile_cont(l_quantity, 0.05) AS b1, quantile_cont(l_quantity, 0.5) AS b2,
+      quantile_cont(l_quantity, 0.99) AS b3 FROM lineitem GROUP BY 1),
+      (SELECT unnest([0.05::DOUBLE, 0.5, 0.99]) AS share), (SELECT unnest(['l_extendedprice', 'l_quantity']) AS c)""",
+)
+def many_percentiles(spark, sf):
+    """Percentiles of several columns and shares in the same passes."""
+    lines = t.table(spark, sf, "lineitem")
+    out = order_stats.percentiles(lines, ["l_extendedprice", "l_quantity"], ["l_returnflag"], [0.05, 0.5, 0.99])
+    return out.withColumn("value", F.round("value", 4))
+
+
 # --- sorts ------------------------------------------------------------------
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright import fixed_values as fixed
 from panelwright.operators import messages, outliers
-from panelwright.sources import feeds, schemas
+from panelwright.sources import feeds, manifest, schemas
 
 
 def read_predictions(spark: SparkSession, base_uri: str, period: int | None = None) -> DataFrame:
-    """The exported predictions of the newest (or the given) period."""
+    """The exported predictions of the newest (or the given) period.
+
+    The manifest names the folder; exports without one are searched for the newest period.
+    """
+    exported = manifest.read_export(spark, base_uri, "predictions", period)
+    if exported is not None:
+        return exported
     rows = feeds.read_csv(spark, f"{base_uri}/predictions", _with_period(schemas.PREDICTIONS))
     return feeds.latest_partition(rows, "gw", period)
 
@@ -39,8 +45,8 @@ def outlier_report(
         predictions, "Pos", x, y, limits, tie, ["RawPts", "AvgPts(L5)", "Sel%"]
     )
     out = outliers.regression_residuals(shown, "Pos", x, y)
-    out = outliers.flag_outliers(out, "Pos", y)
-    out = outliers.quadrant(out, "Pos", x, y)
+    out = outliers.flag_outliers(out, "Pos", y, bounded=True)  # the limits cut each group to a few rows
+    out = outliers.quadrant(out, "Pos", x, y, bounded=True)
     return outliers.relative_scales(out, "Pos", "AvgPts(L5)", "Sel%")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from panelwright.functions.scalars import is_true
 from panelwright.functions.text import period_from_name
+from panelwright.sources import manifest
 
 
 def read_json_array(
@@ -49,7 +50,7 @@ def read_entity_history(
         .option("recursiveFileLookup", True)
         .json(path)
     )
-    entity = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).try_cast("int")
+    entity = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).try_cast("bigint")
     return rows.select(entity.alias(id_column), F.col(field)).select(id_column, F.inline(field))
 
 
@@ -84,6 +85,14 @@ def latest_partition(df: DataFrame, column: str, value: int | None = None) -> Da
     return df.filter(F.col(column) == df.agg(F.max(column)).scalar())
 
 
+def read_newest(spark: SparkSession, path: str, schema: T.StructType, period: str) -> DataFrame:
+    """The newest period of a table of sinks.write_by_period: its manifest says which, only that is read (SRC7)."""
+    known = manifest.entries(spark, f"{path}.manifest", manifest.TABLES)
+    last = known.agg(F.max("seq").alias("seq")).scalar()
+    newest = known.filter(F.col("seq") == last).agg(F.max("period")).scalar()
+    return spark.read.schema(schema).parquet(path).filter(F.col(period) == newest.cast(schema[period].dataType))
+
+
 def latest_named(names: DataFrame, column: str, tag: str = "gw") -> DataFrame:
     """The file name with the largest period number in it; gw10 is newer than gw9."""
     period = period_from_name(column, tag)

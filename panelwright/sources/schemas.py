@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 from panelwright import fixed_values as fixed
 
 _TEXT = ("web_name", "first_name", "second_name", "status", "news")
-_WHOLE = ("id", "team", "element_type", "now_cost", "minutes", "starts")
+_IDS = ("id", "team")  # ids of any feed may be beyond 32 bits
+_WHOLE = ("element_type", "now_cost", "minutes", "starts")
 
-_TYPES = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
 def _struct(**columns: str) -> T.StructType:
@@ -18,6 +19,8 @@ def _struct(**columns: str) -> T.StructType:
 
 
 def _player_field(name: str) -> T.StructField:
+    if name in _IDS:
+        return T.StructField(name, T.LongType())
     if name in _WHOLE:
         return T.StructField(name, T.IntegerType())
     if name in _TEXT or name == "selected_by_percent":
@@ -32,17 +35,17 @@ PLAYERS = T.StructType(
         T.StructField("transfers_out_event", T.LongType()),
     ]
 )
-TEAMS = _struct(id="int", name="string", short_name="string")
+TEAMS = _struct(id="long", name="string", short_name="string")
 CALENDAR = _struct(id="int", finished="boolean")
 FIXTURES = _struct(
-    id="int", event="int", finished="string", kickoff_time="string", team_h="int", team_a="int",
+    id="long", event="int", finished="string", kickoff_time="string", team_h="long", team_a="long",
     team_h_difficulty="int", team_a_difficulty="int", team_h_score="int", team_a_score="int",
 )
 HISTORY = T.StructType(
-    [T.StructField("fixture", T.IntegerType()), T.StructField("round", T.IntegerType())]
+    [T.StructField("fixture", T.LongType()), T.StructField("round", T.IntegerType())]
     + [T.StructField(name, T.StringType()) for name in fixed.HISTORY_STATS]
 )
-PLAYER_CODES = _struct(id="int", web_name="string", team="int")
+PLAYER_CODES = _struct(id="long", web_name="string", team="long")
 PREDICTIONS = T.StructType(
     [
         T.StructField(

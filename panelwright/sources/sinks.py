@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from panelwright.sources import manifest
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -29,18 +31,42 @@ def write_json(df: DataFrame, path: str, keep_nulls: bool = False) -> str:
     return path
 
 
+def write_by_period(df: DataFrame, path: str, period: str) -> str:
+    """Parquet partitioned by period, and then a manifest of its periods beside it (see feeds.read_newest)."""
+    spark = df.sparkSession
+    write_parquet(df, path, [period])
+    log = f"{path}.manifest"
+    present = spark.read.schema(df.schema).parquet(path).select(F.col(period).cast("bigint").alias("period")).distinct()
+    manifest.append(present, log, manifest.next_seq(spark, log, manifest.TABLES))
+    return path
+
+
 def export_all(
-    tables: Mapping[str, DataFrame], base_uri: str, period: int, fmt: str | Mapping[str, str] = "csv"
+    tables: Mapping[str, DataFrame],
+    base_uri: str,
+    period: int,
+    fmt: str | Mapping[str, str] = "csv",
+    versioned: bool = False,
 ) -> dict[str, str]:
-    """Write every table below base_uri/<name>/gw=<period> (SNK4).
+    """Write every table below base_uri/<name>/gw=<period>, and then one manifest entry for each (SNK4).
 
-    Re-running a period replaces that period only; other periods stay.
+    Re-running a period replaces that period only; other periods stay. versioned=True writes each run to a
+    folder of its own instead, so that readers of the manifest never see a period half replaced.
     """
     writers = {"csv": write_csv, "parquet": write_parquet, "json": write_json}
-    out = {}
+    base, out, rows = base_uri.rstrip("/"), {}, []
+    log, seq = manifest.exports(base), None
     for name, table in tables.items():
+        spark = table.sparkSession
+        seq = manifest.next_seq(spark, log, manifest.EXPORTS) if seq is None else seq
         kind = fmt if isinstance(fmt, str) else fmt.get(name, "csv")
-        out[name] = writers[kind](table, f"{base_uri.rstrip('/')}/{name}/gw={int(period)}")
+        folder = f"{base}/versions/{seq}/{name}" if versioned else f"{base}/{name}"
+        out[name] = writers[kind](table, f"{folder}/gw={int(period)}")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+        rows.append((name, int(period), kind, out[name], columns))
+    if rows:
+        schema = manifest.EXPORTS.removesuffix(", seq bigint")
+        manifest.append(SparkSession.active().createDataFrame(rows, schema), log, seq)
     return out
 
 

@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from panelwright.operators.panel import first_per_key
+from panelwright.sources import manifest
 from panelwright.sources.feeds import finished_periods
 
 BATCH = "batch_id"
 
 
+MARKS = "last_finished_gw int, newest_landed bigint, batch bigint, seq bigint"
+
+
+def _last_mark(spark: SparkSession, marker: str):
+    return manifest.entries(spark, marker, MARKS).agg(F.max(F.struct("seq", "last_finished_gw", "newest_landed"))).first()[0]
+
+
 def read_mark(spark: SparkSession, marker: str) -> int:
-    """The stored newest finished period, -1 when there is no marker yet."""
-    try:
-        row = spark.read.schema("last_finished_gw int").json(marker).first()
-    except AnalysisException:
-        return -1
-    return -1 if row is None or row[0] is None else row[0]
+    """The newest finished period of the last whole mark, -1 when there is none yet."""
+    last = _last_mark(spark, marker)
+    return -1 if last is None or last.last_finished_gw is None else last.last_finished_gw
 
 
-def write_mark(spark: SparkSession, marker: str, period: int) -> None:
-    row = spark.range(1).select(F.lit(int(period)).cast("int").alias("last_finished_gw"))
-    row.coalesce(1).write.mode("overwrite").json(marker)
+def write_mark(
+    spark: SparkSession, marker: str, period: int, newest_landed: int | None = None, batch: int | None = None
+) -> None:
+    """Add a mark to the log; marks before it stay, so there is one at any time."""
+    rows = spark.createDataFrame([(int(period), newest_landed, batch)], MARKS.removesuffix(", seq bigint"))
+    manifest.append(rows, marker, manifest.next_seq(spark, marker, MARKS))
 
 
 def newest_finished(fixtures: DataFrame, complete: bool = False) -> int:
@@ -44,9 +52,11 @@ def drain(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     files_per_batch: int | None = None,
     pattern: str | None = None,
-) -> None:
+) -> tuple[int | None, int | None]:
     """Move everything new in the landing folder into the table, then stop.
 
+    Returns the newest period that came and the last batch, None for nothing.
+
     Each micro-batch owns the folders <period>/<batch id> it writes and replaces just those, so a
     batch that is run again after a failure leaves the same table.
     """
@@ -58,14 +68,20 @@ def drain(
     stream = reader.load(landing)
     stream = prepare(stream) if prepare else stream
 
+    landed: list[tuple[int, int]] = []
+
     def land(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
         (
             batch.withColumn(BATCH, F.lit(batch_id))
+            .observe(seen, F.max(period).cast("bigint").alias("newest"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(period, BATCH)
             .parquet(table)
         )
+        if (newest := seen.get["newest"]) is not None:
+            landed.append((newest, batch_id))
 
     query = (
         stream.writeStream.foreachBatch(land)
@@ -74,6 +90,7 @@ def drain(
         .start()
     )
     query.awaitTermination()
+    return max((n for n, _ in landed), default=None), max((b for _, b in landed), default=None)
 
 
 def read_refreshed(
@@ -108,11 +125,16 @@ def incremental_refresh(
     passes the newest period that has landed: files that come late are drained by a later run.
     """
     newest = newest_finished(fixtures, complete)
+    last = _last_mark(spark, marker)
     if not force and newest == read_mark(spark, marker):
         return False
-    drain(spark, **landing)
-    present = newest_present(spark, landing["table"], landing.get("period", "event"))
+    came, batch = drain(spark, **landing)
+    known = None if last is None else last.newest_landed
+    if known is None or came is None:  # no mark yet, or what came was landed by a run that died before its mark
+        present = newest_present(spark, landing["table"], landing.get("period", "event"))
+    else:
+        present = max(known, came)
     if present is None:
         return False
-    write_mark(spark, marker, present if newest is None else min(newest, present))
+    write_mark(spark, marker, min(newest, present), present, batch)
     return True

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import aggregates, context, joins, outliers, panel, ranking, split
+from panelwright.operators import aggregates, context, joins, order_stats, outliers, panel, ranking, split
 from panelwright.sources import feeds, schemas
 
 
@@ -28,17 +28,21 @@ def test_grid_both_ways(spark):
     ids = spark.createDataFrame([(1,), (2,), (2,), (None,)], "p int")
     periods = spark.createDataFrame([(9,), (10,), (31,), (None,)], "event int")
     a = sorted(map(tuple, panel.grid(ids, periods, "p").collect()))
-    b = sorted(map(tuple, panel.grid(ids, periods, "p", spread=3).collect()))
+    b = sorted(map(tuple, panel.replicated_grid(ids, periods, "p").collect()))
     assert a == b == [(p, e) for p in (1, 2) for e in (9, 10, 31)]
 
 
-def test_long_calendar_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(panel, "MAX_CALENDAR", 2)
-    ids = spark.createDataFrame([(1,)], "p int")
-    periods = spark.range(3).select(F.col("id").cast("int").alias("event"))
-    with pytest.raises(Exception, match="spread"):
-        panel.grid(ids, periods, "p").collect()
-    assert panel.grid(ids, periods, "p", spread=2).count() == 3
+@pytest.mark.parametrize("most", [None, 1000])
+def test_long_calendars(spark, monkeypatch, most):
+    """More than 100,000 periods, on either side of the size that tasks hold."""
+    if most:
+        monkeypatch.setattr(panel, "CALENDAR_BYTES", most)
+    ids = spark.createDataFrame([(k,) for k in range(7)], "p int")
+    periods = spark.range(120_000).select((F.col("id") * 3).cast("int").alias("event"))
+    facts = spark.createDataFrame([(3, 300, 1.0), (3, 301, 9.0), (6, 359_997, 2.0)], "p int, event int, a double")
+    out = panel.complete_panel(ids, periods, facts, "p", "event")
+    got = out.agg(F.count("*"), F.countDistinct("event"), F.sum("a"), F.count_if(F.col("a") > 0)).first()
+    assert tuple(got) == (840_000, 120_000, 3.0, 2)
 
 
 def test_first_per_key_is_pre_limited(spark):
@@ -75,6 +79,38 @@ def test_percentiles_of_a_large_group(spark):
     assert got == {0.5: np.percentile(values, 50), 0.88: pytest.approx(np.percentile(values, 88))}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_percentiles_are_narrowed_pass_by_pass(spark, monkeypatch, seed):
+    """Brackets that take several passes, values that very many rows have, several columns, null groups and NaN."""
+    monkeypatch.setattr(order_stats, "LOCAL", 8)
+    rng = np.random.default_rng(seed)
+    n = 6000
+    frame = pd.DataFrame({
+        "g": rng.choice(["a", "b", None], n, p=[0.8, 0.15, 0.05]),
+        "x": np.where(rng.random(n) < 0.4, 3.25, rng.lognormal(0, 8, n) * rng.choice([-1, 1], n)),
+        "y": np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, [2, 50, 100_000][seed], n).astype(float)),
+    })
+    shares = [0.0, 0.013, 0.5, 0.7, 0.9999, 1.0]
+    got = {(r.g, r.column, r.share): r.value for r in order_stats.percentiles(spark.createDataFrame(frame), ["x", "y"], ["g"], shares).collect()}
+    assert len(got) == 3 * 2 * len(shares)
+    for (g, c, s), value in got.items():
+        mine = frame[frame["g"].isna() if g is None else frame["g"] == g][c].dropna()
+        assert value == pytest.approx(np.quantile(mine, s), rel=1e-12)
+
+
+def test_ranks_of_groups_in_many_parts(spark):
+    rng = np.random.default_rng(0)
+    frame = pd.DataFrame({"g": rng.choice([1.0, 2.0, np.nan], 5000, p=[0.9, 0.05, 0.05]), "x": rng.integers(0, 40, 5000), "i": np.arange(5000)})
+    rows = [(None if np.isnan(g) else int(g), int(x), int(i)) for g, x, i in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "g int, x int, i int")
+    got = {r.i: r.place for r in order_stats.exact_ranks(df, ["g"], [F.col("x").desc(), "i"], "place").collect()}
+    want, seen = {}, {}
+    for g, x, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[g] = want[i] = seen.get(g, 0) + 1
+    assert got == want
+    assert order_stats.exact_ranks(df.limit(0), ["g"], ["x"]).count() == 0
+
+
 def test_column_stats_both_ways(spark):
     df = spark.createDataFrame([("a", float(i * i)) for i in range(40)] + [("b", None), ("b", -2.0)], "g string, x double")
     whole = {r.g: r.asDict() for r in aggregates.column_stats(df, "x", ["g"]).collect()}
@@ -185,10 +221,12 @@ def _panel_inputs(spark):
     return ids, periods, facts
 
 
-@pytest.mark.parametrize("spread", [0, 3])
-def test_complete_panel(spark, spread):
+@pytest.mark.parametrize("most", [None, 0])
+def test_complete_panel(spark, monkeypatch, most):
     """Gaps and NULLs are filled; facts outside ids or calendar are dropped."""
-    out = panel.complete_panel(*_panel_inputs(spark), "p", "event", fills={"fdr": 3.0}, spread=spread)
+    if most is not None:
+        monkeypatch.setattr(panel, "CALENDAR_BYTES", most)
+    out = panel.complete_panel(*_panel_inputs(spark), "p", "event", fills={"fdr": 3.0})
     got = {(r.p, r.event): (r.a, r.fdr) for r in out.collect()}
     facts = {(1, 9): (1.5, 3.0), (1, 31): (2.0, 4.0), (2, 10): (3.0, 1.0)}
     assert out.count() == 9
