@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.session import scratch_path
 
@@ -14,6 +14,16 @@ SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # whole texts are long
 }
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches as small as stored() does, also in the caller's own write.
+
+    Sets the session's rows per Arrow batch, unless it asks for fewer already; results don't depend on it.
+    """
+    if int(spark.conf.get(BATCH_ROWS)) > int(SETTINGS[BATCH_ROWS]):
+        spark.conf.set(BATCH_ROWS, SETTINGS[BATCH_ROWS])
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -30,4 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Remove stored tables that nothing will read again: what was made of them is written already."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import buffers
-from panelwright.llm.stored import stored
+from panelwright.llm.stored import free, stored
 
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 ROUNDS = 5  # symbols of a repeated string
 SHARD_BYTES = 250_000  # bytes of contexts that form a shard
-MERGE_BYTES = 1_500_000  # bytes merged at once; an anchor with more of them in its contexts is split by ranges of strings
+MERGE_BYTES = 1_500_000  # bytes merged at once
+SPLIT_CONTEXTS = 256  # an anchor with more contexts is split by ranges of strings, so that none weighs on a task
 NODE = ["weight", "tk", "size", "at", "low", "high", "first", "around"]
 ROWS = "core bigint, whole bigint, weight int, tk bigint, size bigint, at bigint, low int, high int, first bigint, around binary"
 
@@ -320,10 +321,11 @@ def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
     whole_range = (F.lit(0).alias("low"), F.lit(length // 2).alias("high"))
     weight = F.when(F.col("copied"), 2).otherwise(1).alias("weight")
     nodes = shipped.select(weight, "tk", "size", "at", *whole_range, "first", "around")
-    high, found = length // 2, []
+    high, found, before = length // 2, [], []
     while high:
         high //= 2
         rows = stored(nodes.mapInArrow(_halved(length), ROWS), "suffix-ranges")
+        free(*before)
         kinds = rows.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct(*NODE[1:])).alias("one"))
         kinds = stored(kinds, "suffix-kinds")
         again = rows.filter("weight = 1").join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi")
@@ -332,6 +334,8 @@ def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
         open_ = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
         going = kinds.join(open_.select("core"), "core", "left_semi")
         nodes = going.select(F.least(F.col("n"), F.lit(2)).cast("int").alias("weight"), "one.*")
+        before = [rows, kinds]
+    free(*before)
     return found
 
 
@@ -341,8 +345,7 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     1. Anchors of all texts, with a hash of the bytes around each. Anchors that occur once are dropped.
     2. A context that occurs twice repeats whole: counted with map-side combination, so copies and
        passages that many documents share never meet in a task.
-    3. The other contexts of an anchor that has several are shipped once and merged, if they are no more
-       than a task merges at once.
+    3. The other contexts of an anchor that has several are shipped once and merged, if they are few.
     4. An anchor with more of them, at the edge of what very many documents share, is split: ranges of its
        strings are told apart by counts, halved round by round (see _refined).
     """
@@ -352,11 +355,11 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     every = stored(read.mapInArrow(_found(length), schema), "suffix-anchors")
     twice = every.groupBy("h").count().filter("count > 1").select("h")
     some = stored(every.join(twice, "h", "left_semi"), "suffix-repeated")
+    free(every)
     kinds = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "size", "at")).alias("one"))
     kinds = stored(kinds, "suffix-contexts")
     open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
     open_ = stored(open_, "suffix-open")
-    most = MERGE_BYTES // (length + length // 2)
 
     def asking(anchors_: DataFrame, of: DataFrame) -> DataFrame:
         ask = of.join(anchors_.select("h"), "h", "left_semi").select("one.tk", "one.size", F.struct("one.at", "h", "n").alias("a"))
@@ -364,7 +367,7 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
         return read.join(ask, ["tk", "size"]).select("text", "tk", "size", "asked")
 
     ships = "h bigint, tk bigint, size bigint, at bigint, first bigint, copied boolean, around binary"
-    shipped = asking(open_.filter(F.col("k") <= most), kinds).mapInArrow(_shipped(length), ships)
+    shipped = asking(open_.filter(F.col("k") <= SPLIT_CONTEXTS), kinds).mapInArrow(_shipped(length), ships)
     dealt = shipped.repartition("h").sortWithinPartitions("h")
     open_runs = dealt.mapInArrow(_merged(length), "tk bigint, size bigint, begin bigint, stop bigint")
     whole = some.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("tk", "size", "at").distinct()
@@ -372,11 +375,14 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     begin, stop = F.greatest(F.col("at") - length // 2, F.lit(0)), F.least(F.col("at") + length, F.col("size"))
     whole = whole.select("tk", "size", begin.alias("begin"), stop.alias("stop"))
     found = open_runs.unionByName(whole)
-    many = open_.filter(F.col("k") > most)
+    parts: list[DataFrame] = []
+    many = open_.filter(F.col("k") > SPLIT_CONTEXTS)
     if not many.isEmpty():
-        for part in _refined(asking(many, kinds).mapInArrow(_shipped(length), ships), length):
+        parts = _refined(asking(many, kinds).mapInArrow(_shipped(length), ships), length)
+        for part in parts:
             found = found.unionByName(part)
     runs = stored(found, "suffix-runs")
+    free(some, kinds, open_, *parts)
     return runs.groupBy("tk", "size").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
 
 

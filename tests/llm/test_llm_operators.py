@@ -132,7 +132,7 @@ def test_suffixes_random(spark, seed, monkeypatch):
     """Texts pieced together from few parts, and texts that repeat as rows, with short strings; anchors split or not."""
     rng = random.Random(seed)
     if seed:
-        monkeypatch.setattr(suffixes, "MERGE_BYTES", [0, 60, 400][seed])
+        monkeypatch.setattr(suffixes, "SPLIT_CONTEXTS", [0, 1, 8][seed])
     some = lambda n: "".join(rng.choice("abé") for _ in range(n))
     parts = [some(rng.randint(1, 60)) for _ in range(9)]
     texts = ["".join(rng.choice(parts) + some(rng.randint(0, 4)) for _ in range(rng.randint(0, 9))) for _ in range(80)]
