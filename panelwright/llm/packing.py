@@ -19,7 +19,6 @@ END_ID = 2
 NUMBERS = ["piece", "start", "length", "ids_crc32"]
 STORE = 4_000_000  # ids kept of pre-tokens seen by a task before its memory starts anew
 NODES = 2_000  # search steps of bin completion after which the best packing found stands
-CHOICES = 24  # fillings tried for one bin
 
 
 @dataclass(frozen=True)
@@ -46,10 +45,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def _apply(left: dict[int, int], filling: tuple[int, ...]) -> Run:
-    """Fill as many bins as the counts allow and take their pieces away."""
+def _apply(left: dict[int, int], filling: tuple[int, ...], most: int | None = None) -> Run:
+    """Fill as many bins as the counts allow, `most` at most, and take their pieces away."""
     need = {x: filling.count(x) for x in set(filling)}
     bins = min(left[x] // n for x, n in need.items())
+    bins = bins if most is None else min(bins, most)
     for x, n in need.items():
         left[x] -= bins * n
         if not left[x]:
@@ -70,47 +70,60 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(left: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest length, least waste first.
+def _reachable(lengths: list[int], left: dict[int, int], capacity: int) -> list[int]:
+    """For each place in `lengths` (descending) the sums that pieces from there on can make, as bits of a number."""
+    mask = (1 << (capacity + 1)) - 1
+    out = [1] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        x, sums = lengths[k], out[k + 1]
+        n = min(left[x], capacity // x)
+        step = 1
+        while n:  # so many copies, by powers of two
+            step = min(step, n)
+            sums |= (sums << (x * step)) & mask
+            n -= step
+            step *= 2
+        out[k] = sums
+    return out
+
+
+def fillings(left: dict[int, int], capacity: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings around the largest length, least waste first, longer pieces first.
 
     A filling is dominated if another one that fits is at least as long piece for piece: so none
-    leaves room for a piece that is left, and none can swap a piece for the next longer one.
+    leaves room for a piece that is left, and none can swap a piece for the next longer one. What sums the
+    pieces can make is worked out once, so the walk for a given waste never runs into a dead end.
     """
     lengths = sorted(left, reverse=True)
     largest = lengths[0]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
+    rest = {**left, largest: left[largest] - 1}
+    reach = _reachable(lengths, rest, capacity - largest)
 
-    def extend(at: int, room: int, chosen: list[int], used: dict[int, int]) -> None:
-        nonlocal steps
-        steps += 1
-        if len(found) >= CHOICES or steps > 40 * CHOICES:
-            return
-        fits = [i for i in range(at, len(lengths)) if lengths[i] <= room and used.get(lengths[i], 0) < left[lengths[i]]]
-        if not fits:
-            if _undominated(chosen, room, lengths, left, used):
-                found.append((room, tuple(chosen)))
+    def exact(at: int, room: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly `room` with pieces from place `at` on."""
+        if not room:
+            yield ()
             return
-        for i in fits:
-            x = lengths[i]
-            used[x] = used.get(x, 0) + 1
-            extend(i, room - x, [*chosen, x], used)
-            used[x] -= 1
-            if len(found) >= CHOICES or steps > 40 * CHOICES:
-                return
-
-    extend(0, capacity - largest, [largest], {largest: 1})
-    if not found:  # the walk was cut short: the greedy filling always fits
-        chosen, room = [largest], capacity - largest
-        for x in lengths:
-            take = min(left[x] - (x == largest), room // x)
-            chosen += [x] * take
-            room -= take * x
-        found.append((room, tuple(chosen)))
-    return [x for _, x in sorted(found, key=lambda f: f[0])]
+        for k in range(at, len(lengths)):
+            x = lengths[k]
+            for n in range(min(rest[x], room // x), 0, -1):
+                if reach[k + 1] >> (room - n * x) & 1:
+                    for more in exact(k + 1, room - n * x):
+                        yield (x,) * n + more
+
+    room = capacity - largest
+    for waste in range(room + 1):
+        if reach[0] >> (room - waste) & 1:
+            for filling in exact(0, room - waste):
+                used = {x: filling.count(x) for x in set(filling)}
+                used[largest] = used.get(largest, 0) + 1
+                if _undominated([largest, *filling], waste, lengths, left, used):
+                    yield (largest, *filling)
 
 
 def _undominated(chosen: list[int], room: int, lengths: list[int], left: dict[int, int], used: dict[int, int]) -> bool:
+    if not room:
+        return True
     if any(x <= room and used.get(x, 0) < left[x] for x in lengths):
         return False
     for x in set(chosen[1:]):
@@ -119,17 +132,31 @@ def _undominated(chosen: list[int], room: int, lengths: list[int], left: dict[in
     return True
 
 
+def least_waste(counts: dict[int, int], capacity: int) -> list[Run]:
+    """Each bin, around the longest piece left, gets the first of its least wasteful fillings."""
+    left = dict(counts)
+    runs: list[Run] = []
+    while left:
+        runs.append(_apply(left, next(fillings(left, capacity))))
+    return runs
+
+
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Run]:
-    """Bin completion: depth-first over fillings around the largest length left.
+    """Bin completion: depth-first over fillings around the largest length left, least waste first.
 
-    The best-fit packing is the first incumbent. A branch ends when its waste so far means that it
-    can't use fewer bins than the incumbent; the search ends at the lower bound or after `nodes` steps,
-    and the incumbent, always a whole packing, stands. Its work depends on the number of different
-    lengths, not on the number of pieces.
+    The best-fit packing and the one of least waste per bin are the first incumbents. A branch ends when its
+    waste so far means that it can't use fewer bins than the incumbent; a filling is tried for as many bins as
+    the counts allow and for one. The search ends at the lower bound or after `nodes` steps, and the incumbent,
+    always a whole packing, stands. Its work depends on the number of different lengths, not on the number of
+    pieces.
     """
-    best = best_fit(counts, capacity)
     least, total = least_bins(counts, capacity), sum(x * n for x, n in counts.items())
+    best = best_fit(counts, capacity)
     best_bins = sum(r.bins for r in best)
+    if best_bins > least:
+        tried = least_waste(counts, capacity)
+        if (bins := sum(r.bins for r in tried)) < best_bins:
+            best, best_bins = tried, bins
     stack = [iter([([], 0, dict(counts))])] if best_bins > least else []
     steps = 0
     while stack and best_bins > least and steps < nodes:
@@ -148,9 +175,12 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
         def children(runs=runs, waste=waste, left=left):
             for filling in fillings(left, capacity):
-                rest = dict(left)
-                run = _apply(rest, filling)
-                yield [*runs, run], waste + run.bins * (capacity - sum(filling)), rest
+                for most in (None, 1):
+                    rest = dict(left)
+                    run = _apply(rest, filling, most)
+                    if most is None or run.bins < again:
+                        yield [*runs, run], waste + run.bins * (capacity - sum(filling)), rest
+                    again = run.bins
 
         stack.append(children())
     return best

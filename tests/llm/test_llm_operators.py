@@ -81,6 +81,11 @@ def test_bin_completion():
         assert packing.least_bins(counts, 10) <= sum(r.bins for r in runs) <= sum(r.bins for r in packing.best_fit(counts, 10))
     # best fit needs three bins here, two do
     assert sum(r.bins for r in packing.complete_bins({5: 1, 4: 1, 3: 3, 2: 1}, 10)) == 2
+    # very many pieces of one id, and fillings that no run of equal bins gives
+    assert sum(r.bins for r in packing.complete_bins({1: 5000, 1024: 3}, 1024)) == 8
+    assert sum(r.bins for r in packing.complete_bins({1: 3000, 600: 2, 424: 2}, 1024)) == 5
+    first = list(packing.fillings({6: 1, 5: 1, 4: 2, 3: 1}, 10))
+    assert first[0] == (6, 4) and all(sum(x) <= 10 for x in first)
 
 
 def test_suffixes(spark, sample):
