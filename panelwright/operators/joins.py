@@ -2,7 +2,8 @@
 
 No join here carries a broadcast hint: Spark broadcasts a side when its known or run-time size is
 under spark.sql.autoBroadcastJoinThreshold and otherwise shuffles both, splitting hot partitions
-(AQE skew join). `salt` spreads a key that is known to be hot without relying on statistics.
+(AQE skew join). `attach_split` finds the keys that very many rows share with a sketch and splits just
+those; `attach(..., salt=n)` splits all keys alike.
 """
 
 from __future__ import annotations
@@ -57,6 +58,55 @@ def attach(
     return fill_defaults(out, fills) if fills else out
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], parts: int) -> list[int]:
+    """Hashes of the keys that hold more rows than half a part of `parts` should.
+
+    They come from one pass with a mergeable sketch of frequent items, whose size depends on `parts` only;
+    at most 2 * parts keys can be so heavy.
+    """
+    top = 2 * parts
+    hashed = df.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
+    found = hashed.agg(F.expr(f"approx_top_k(h, {top}, {8 * top})").alias("items"), F.count(F.lit(1)).alias("n")).first()
+    return [item["item"] for item in found.items if item["count"] * top > found.n]
+
+
+def attach_split(
+    df: DataFrame,
+    dim: DataFrame,
+    keys: str | Sequence[str] | Mapping[str, str],
+    columns: Sequence[str] | None = None,
+    fills: Mapping[str, object] | None = None,
+    how: str = "left",
+    parts: int | None = None,
+) -> DataFrame:
+    """As attach, with the rows of heavy keys dealt over all parts and their dimension rows copied to each.
+
+    Which keys are heavy is found in the data (see heavy_keys), by a job that runs at once. Keys that few rows
+    share are joined as ever, so only heavy ones pay for copies. Null keys match nothing and are dealt too.
+    """
+    pairs = _pairs(keys)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(df, [left for left, _ in pairs], parts)
+    right_keys = [r for _, r in pairs]
+    wanted = [c for c in (columns if columns is not None else dim.columns) if c not in right_keys]
+
+    def is_heavy(names: Sequence[str]):
+        return F.xxhash64(*[F.col(f"`{n}`") for n in names]).isin(heavy) if heavy else F.lit(False)
+
+    # by the row and the part it comes from, which a task that runs again repeats
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id(), F.lit(parts)).cast("int")
+    left = df.withColumn("__salt", F.when(is_heavy([k for k, _ in pairs]), spread).otherwise(0))
+    copies = F.when(is_heavy(right_keys), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    right = dim.select(
+        *[F.col(f"`{r}`").alias(f"__key_{i}") for i, r in enumerate(right_keys)], *[F.col(f"`{c}`") for c in wanted],
+        F.explode(copies).alias("__part"),
+    )
+    condition = [F.col(name) == F.col(f"__key_{i}") for i, (name, _) in enumerate(pairs)]
+    out = left.join(right, [*condition, F.col("__salt") == F.col("__part")], how)
+    out = out.drop(*[f"__key_{i}" for i in range(len(pairs))], "__salt", "__part")
+    return fill_defaults(out, fills) if fills else out
+
+
 def join_suffixed(
     df: DataFrame, dim: DataFrame, left_key: str, right_key: str, suffix: str = "_season"
 ) -> DataFrame:

@@ -48,16 +48,21 @@ class Forecast:
 
 
 def read_feeds(spark: SparkSession, base: str, history_format: str = "json") -> Feeds:
-    """Landing zone: bootstrap.json, fixtures.json and history/<id>.json or history/*.parquet."""
+    """Landing zone: bootstrap.json, fixtures.json and history/<id>.json or history/*.parquet.
+
+    The two documents are parsed once, by many tasks, and written: many later steps read them.
+    """
     optional = [*fixed.PER90, "transfers_in_event", "transfers_out_event"]
     players = feeds.read_json_array(spark, f"{base}/bootstrap.json", "elements", schemas.PLAYERS)
+    players = materialise(players, "players")
+    fixtures = feeds.read_json_records(spark, f"{base}/fixtures.json", schemas.FIXTURES)
     if history_format == "parquet":
         history = feeds.read_history(spark, f"{base}/history")
     else:
         history = feeds.read_entity_history(spark, f"{base}/history", schemas.HISTORY)
     return Feeds(
         clean.drop_empty(players, optional),
-        feeds.read_json_records(spark, f"{base}/fixtures.json", schemas.FIXTURES),
+        materialise(fixtures, "fixtures"),
         history,
     )
 

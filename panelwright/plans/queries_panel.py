@@ -215,6 +215,19 @@ def attach_salted(spark, sf):
     return out.drop("user_id")
 
 
+@query(
+    "attach_split",
+    "JOI1 JOI2",
+    """SELECT event_id, who, c_mktsegment FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS who
+      FROM events) LEFT JOIN customer ON c_custkey = who""",
+)
+def attach_split(spark, sf):
+    """A dimension joined to events a third of which have one key; the join finds that key itself."""
+    who = F.when(F.col("event_id") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("user_id")).alias("who")
+    events = t.table(spark, sf, "events").select("event_id", who)
+    return joins.attach_split(events, t.table(spark, sf, "customer"), {"who": "c_custkey"}, ["c_mktsegment"])
+
+
 @query(
     "side_context_join",
     "JOI2",

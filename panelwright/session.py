@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ SETTINGS = {
 }
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}  # scratch paths by application, oldest first
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +38,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/panelwright/{label}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path below the shared folder; removed when the session's Python process ends, or by a scope."""
+    path = f"{shared_dir(spark)}/panelwright/{label}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = []
+        atexit.register(_end, spark, app)
+    _MADE[app].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, wherever the shared folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables that were made inside once it is left, by an error too.
+
+    For work whose results are collected or written before it ends; frames that are still to be read need theirs.
+    """
+    app = spark.sparkContext.applicationId
+    before = set(_MADE.get(app, []))
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE.get(app, []) if p not in before]:
+            remove(spark, path)
+
+
+def _end(spark: SparkSession, app: str) -> None:
+    context = spark.sparkContext
+    if getattr(context, "_jsc", None) is None or context.applicationId != app:
+        return  # the session was stopped before: its folder outlives it
+    for path in list(_MADE.get(app, [])):
+        remove(spark, path)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

@@ -6,27 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from panelwright.functions.scalars import is_true
 from panelwright.functions.text import period_from_name
-from panelwright.sources import manifest
+from panelwright.sources import json_blocks, manifest
 
 
 def read_json_array(
     spark: SparkSession, path: str, field: str, schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """One array of a nested JSON document as a table (SRC1).
+    """One array of nested JSON documents as a table (SRC1).
 
-    Only the wanted array is in the read schema, so the parser skips the others. With
-    multi_line=False every line is a document and large files are split between tasks.
+    A document may be of any size and is read by many tasks (see json_blocks). With multi_line=False every
+    line is a document, and only the wanted array is in the read schema, so the parser skips the others.
     """
+    if multi_line:
+        return json_blocks.read_records(spark, path, schema, field)
     document = T.StructType([T.StructField(field, T.ArrayType(schema))])
-    rows = spark.read.schema(document).option("multiLine", multi_line).json(path)
-    return rows.select(F.inline(field))
+    return spark.read.schema(document).json(path).select(F.inline(field))
 
 
 def read_json_records(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """Top-level JSON arrays of records (SRC2); multi_line=False for one array per line."""
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    """Top-level JSON arrays of records (SRC2), read by many tasks; multi_line=False for one array per line."""
+    if multi_line:
+        return json_blocks.read_records(spark, path, schema)
+    return spark.read.schema(schema).json(path)
 
 
 def read_entity_history(

@@ -17,6 +17,27 @@ def test_attach_fans_out_and_salt_agrees(spark):
     assert plain == salted and len(plain) == 6 and plain[0].asDict().keys() == {"k", "v", "w"}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_heavy_keys_are_found_and_split(spark, how):
+    """A third of the rows have one key, some have none: same rows as a plain join, and no part much longer."""
+    rows = spark.range(24_000).selectExpr("if(id % 3 = 0, 7, if(id % 50 = 1, null, id % 4000)) k", "if(id % 3 = 0, 'x', 'y') v", "id")
+    dim = spark.range(4000).selectExpr("id", "id * 2 w").unionByName(spark.createDataFrame([(7, -1), (None, 5)], "id long, w long"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert len(joins.heavy_keys(rows, ["k"], 8)) == 1
+        rows = rows.withColumnRenamed("id", "row")
+        plain = joins.attach(rows, dim, {"k": "id"}, how=how)
+        split_ = joins.attach_split(rows, dim, {"k": "id"}, how=how)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, split_.collect()))
+        sizes = sorted(r["count"] for r in split_.groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_join_suffixed(spark):
     left = spark.createDataFrame([(1, 5)], "player_id int, minutes int")
     right = spark.createDataFrame([(1, 900, "x")], "id int, minutes int, name string")

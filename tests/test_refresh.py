@@ -199,3 +199,19 @@ def test_ids_beyond_32_bits_survive(spark, tmp_path):
     player = feeds.read_json_array(spark, str(tmp_path / "bootstrap.json"), "elements", schemas.PLAYERS).first()
     match = feeds.read_json_records(spark, str(tmp_path / "fixtures.json"), schemas.FIXTURES).first()
     assert (player.id, player.team, match.id, match.team_a) == (big, big + 2, big + 1, big + 3)
+
+
+def test_a_scope_leaves_no_scratch_behind(spark, sf_dir):
+    import os
+
+    folder = f"{session.shared_dir(spark).removeprefix('file://')}/panelwright"
+    session.materialise(spark.range(3), "kept")
+    before = set(os.listdir(folder))
+    with session.scope(spark):
+        assert QUERIES["column_stats"](spark, sf_dir).count() > 0
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+    with pytest.raises(ValueError), session.scope(spark):
+        session.materialise(spark.range(3), "lost")
+        raise ValueError
+    assert set(os.listdir(folder)) == before
