@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.session import scratch_path
+from panelwright.session import remove, scratch_path
 
 # Shuffle files of the job go as soon as it has ended. A compressed table's file size says little about
 # its size in memory, so Spark isn't left to broadcast by it; broadcasts that are asked for still happen.
@@ -48,6 +48,4 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def free(*frames: DataFrame) -> None:
     """Remove stored tables that nothing will read again: what was made of them is written already."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, df.stored_path)
