@@ -161,6 +161,11 @@ def validation_table(
     return _display(out, headers, labels)
 
 
+def find_entity(entities: DataFrame, name: str, query: str, key: str = "id") -> DataFrame:
+    """The key of the first entity whose name matches, to restrict facts by before anything is computed (SCR8)."""
+    return clean.name_search(entities, name, query).orderBy(key).limit(1).select(key)
+
+
 def entity_trace(
     predictions: DataFrame,
     panel: DataFrame,

@@ -13,6 +13,7 @@ from panelwright.operators import (
     features,
     joins,
     models,
+    panel,
     ranking,
     scoring,
     split,
@@ -297,25 +298,33 @@ forecast AS (
 )
 
 
-def _snapshot(spark, sf):
-    """Prediction frame of the driver tables for the day after the last one."""
-    rows, people = t.match_panel(spark, sf), t.entities(spark, sf)
+def _snapshot(spark, sf, ids=None):
+    """Prediction frame of the driver tables for the day after the last one.
+
+    ids: the players wanted; then only their facts and those of their opponents' players are read into panels.
+    """
+    rows, people = t.match_panel(spark, sf, ids), t.entities(spark, sf)
     featured = features.panel_features(rows, people)
     last = t.last_day(spark, sf)
-    ids = people.select(F.col("id").alias("player_id"))
-    latest = context.latest_state(featured, ids, last, features.snapshot_columns(), dense=True)
+    fixtures = t.calendar_matches(spark, sf)
+    team = people.select(F.col("id").alias("player_id"), "team")
+    if ids is not None:
+        people = joins.restrict_to(people, ids.withColumnRenamed("player_id", "id"), "id")
+        next_sides = panel.unpivot_sides(clean.at_period(fixtures, last + 1), defaults=False).select("team", "opponent")
+        facing = joins.restrict_to(next_sides, people, "team").select(F.col("opponent").alias("team"))
+        rows = t.match_panel(spark, sf, joins.restrict_to(team, facing, "team").select("player_id"))
+    wanted = people.select(F.col("id").alias("player_id"))
+    latest = context.latest_state(featured, wanted, last, features.snapshot_columns(), dense=True)
     latest = t.rounded(latest, ["total_points_mean5", "minutes_sum5"])
     latest = scoring.with_availability(latest, people)
-    fixtures = t.calendar_matches(spark, sf)
     upcoming = context.upcoming_context(fixtures, last + 1, "fixture_id")
-    team = people.select(F.col("id").alias("player_id"), "team")
     strength = context.team_strength(rows, team)
     opponents = context.opponent_strength(strength, fixtures, last + 1)
     return scoring.prediction_frame(people, latest, upcoming, opponents)
 
 
-def _forecast(spark, sf):
-    frame = _snapshot(spark, sf)
+def _forecast(spark, sf, ids=None):
+    frame = _snapshot(spark, sf, ids)
     cap = scalars.lookup("element_type", {k: float(v) for k, v in fixed.PREDICTION_CAP.items()})
     form = F.col("total_points_mean5")
     raw = F.when(form > cap, cap).otherwise(form)
@@ -562,9 +571,10 @@ def training_summary(spark, sf):
     WHERE lower(web_name) LIKE '%customer#00000000%' ORDER BY id LIMIT 1""",
 )
 def entity_trace_score(spark, sf):
-    hit, _ = scoring.entity_trace(
-        _forecast(spark, sf), t.panel(spark, sf), t.periods(spark, sf), "CUSTOMER#00000000"
-    )
+    """The entity is found first; the facts of others but its opponents are dropped before they are added up."""
+    name = "CUSTOMER#00000000"
+    ids = materialise(scoring.find_entity(t.players(spark, sf), "web_name", name, "player_id"), "traced")
+    hit, _ = scoring.entity_trace(_forecast(spark, sf, ids), t.panel(spark, sf, ids), t.periods(spark, sf), name)
     return t.rounded(hit, ["raw_predicted_points"]).select(
         "id", "web_name", "avg_minutes_last5", "availability_score", "fdr", "is_home", "num_fixtures",
         "raw_predicted_points", "predicted_points",
@@ -581,9 +591,8 @@ def entity_trace_score(spark, sf):
       AND event IN (SELECT event FROM periods ORDER BY event DESC LIMIT 5)""",
 )
 def entity_trace_periods(spark, sf):
-    _, last = scoring.entity_trace(
-        t.entities(spark, sf), t.panel(spark, sf), t.periods(spark, sf), "00000001"
-    )
+    ids = materialise(scoring.find_entity(t.players(spark, sf), "web_name", "00000001", "player_id"), "traced")
+    _, last = scoring.entity_trace(t.entities(spark, sf), t.panel(spark, sf, ids), t.periods(spark, sf), "00000001")
     return last
 
 

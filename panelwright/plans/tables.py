@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright.functions.scalars import lookup, round_half_even
 from panelwright.operators.context import match_context
-from panelwright.operators.joins import attach
+from panelwright.operators.joins import attach, restrict_to
 from panelwright.operators.panel import complete_panel, unpivot_sides
 
 STATS = [
@@ -58,11 +58,15 @@ def day(c: str) -> Column:
     return F.unix_date(F.to_date(c))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per player and day; combined per task before the shuffle, so hot users are fine."""
+def facts(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """One row per player and day; combined per task before the shuffle, so hot users are fine.
+
+    ids: the players wanted; events of others are dropped before anything is added up.
+    """
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("player_id"), day("ts").alias("event"), "event_type", "value"
     )
+    events = events if ids is None else restrict_to(events, ids, "player_id")
 
     def count_of(kind: str) -> Column:
         return F.count_if(F.col("event_type") == kind).cast("double")
@@ -97,10 +101,10 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer on every day with events; gaps are zero."""
-    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
-    return complete_panel(ids, periods(spark, sf_dir), facts(spark, sf_dir), stats=STATS)
+def panel(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Every customer (or those wanted) on every day with events; gaps are zero."""
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
+    return complete_panel(every if ids is None else ids, periods(spark, sf_dir), facts(spark, sf_dir, ids), stats=STATS)
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,21 +149,21 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_context(unpivot_sides(played, keep=["fixture_id"]))
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """Facts with the player's team and that team's match of the day."""
     team = players(spark, sf_dir).select("player_id", "team")
-    out = attach(facts(spark, sf_dir), team, "player_id")
+    out = attach(facts(spark, sf_dir, ids), team, "player_id")
     fills = {"fdr": 3.0, "is_home": 0.0, "score_for": 0.0, "score_ag": 0.0}
     return attach(out, context(spark, sf_dir), ["team", "event"], fills=fills)
 
 
-def match_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with match context."""
-    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
+def match_panel(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The panel, of the players wanted, with match context."""
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
     return complete_panel(
-        ids,
+        every if ids is None else ids,
         periods(spark, sf_dir),
-        history(spark, sf_dir),
+        history(spark, sf_dir, ids),
         stats=STATS + CONTEXT,
         fills={"fdr": 3.0},
     )
