@@ -1,6 +1,6 @@
 """Equi-joins of the panel with its dimensions (JOI*).
 
-No join here carries a broadcast hint: Spark broadcasts a side when its known or run-time size is
+No join here carries a broadcast hint, and salted ones are never broadcast: Spark broadcasts a side when its known or run-time size is
 under spark.sql.autoBroadcastJoinThreshold and otherwise shuffles both, splitting hot partitions
 (AQE skew join). `attach_split` finds the keys that very many rows share with a sketch and splits just
 those; `attach(..., salt=n)` splits all keys alike.
@@ -37,7 +37,7 @@ def attach(
 
     keys: one name, several names, or {left name: right name}; the right key columns are dropped.
     salt > 1 splits every left key into that many parts by a hash of salt_by and copies the
-    right side once per part.
+    right side once per part; both are then shuffled and sorted, never broadcast.
     """
     pairs = _pairs(keys)
     right_keys = [r for _, r in pairs]
@@ -51,7 +51,8 @@ def attach(
     if salt > 1:
         spread = [F.col(c) for c in (salt_by or df.columns)]
         left = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
-        right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        # Spark takes the copies for as small as the dimension: each task would hold all of them, so they are dealt
+        right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
         condition.append(F.col("__salt") == F.col("__part"))
     out = left.join(right, condition, how)
     out = out.drop(*[f"__key_{i}" for i in range(len(pairs))], "__salt", "__part")
