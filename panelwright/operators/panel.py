@@ -11,6 +11,7 @@ from panelwright.functions.scalars import falsy_default
 from panelwright.functions.windows import rank_in_group
 
 CALENDAR_BYTES = 4 << 20  # of a calendar that each task holds
+PANEL_ROWS = 1 << 17  # of a panel in a task, on average: windows over its features hold a few hundred MB
 _WIDTHS = {"byte": 1, "short": 2, "integer": 4, "long": 8, "date": 4, "timestamp": 8}
 
 
@@ -77,8 +78,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def grid(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event") -> DataFrame:
-    """Every entity with every period (JOI14), for calendars of any length.
+def grid(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event", parts: int | None = None) -> DataFrame:
+    """Every entity with every period (JOI14), for calendars of any length; dealt by entity to `parts` tasks, if given.
 
     The periods are counted first. A calendar of up to CALENDAR_BYTES, as good as any, is an array that each
     entity row explodes where it is: no join, and the result is partitioned by entity as the ids are. A longer
@@ -88,7 +89,9 @@ def grid(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event")
     entities, days = _distinct(ids, entity), _distinct(periods, period)
     width = _WIDTHS.get(days.schema[period].dataType.typeName(), 64)
     if days.count() * width > CALENDAR_BYTES:
-        return replicated_grid(ids, periods, entity, period).repartition(entity)
+        pairs = replicated_grid(ids, periods, entity, period)
+        return pairs.repartition(parts, entity) if parts else pairs.repartition(entity)
+    entities = entities.repartition(parts, entity) if parts else entities
     return entities.select(entity, F.explode(days.agg(F.array_sort(F.collect_list(period))).scalar()).alias(period))
 
 
@@ -100,6 +103,16 @@ def replicated_grid(ids: DataFrame, periods: DataFrame, entity: str, period: str
     return mine.join(copies, "__bucket").drop("__bucket")
 
 
+def panel_parts(ids: DataFrame, periods: DataFrame, entity: str, period: str = "event") -> int:
+    """Tasks for a panel, so that each has PANEL_ROWS of its rows on average.
+
+    The rows are counted before: Spark sizes tasks by the bytes it shuffles, which are those of the ids alone.
+    """
+    rows = _distinct(ids, entity).count() * _distinct(periods, period).count()
+    least = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with fewer, later joins would deal the panel again
+    return max(least, -(-rows // PANEL_ROWS))
+
+
 def _distinct(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct()
 
@@ -117,7 +130,7 @@ def complete_panel(
 
     facts must have one row per (entity, period). Unlisted fills are 0.
 
-    Only ids and the sparse facts are shuffled, by entity; the grid is exploded after that, where
+    Only ids and the sparse facts are shuffled, by entity, to so many tasks as the panel's rows ask for; the grid is exploded after that, where
     it stays (of a very long calendar also the pairs of entity and period, see grid). Grid rows and facts are put next to each other by one sort on (entity, period), and
     each grid row takes the fact right before it. The result is partitioned by entity and sorted,
     so windows over the entity's periods need neither another exchange nor another sort.
@@ -127,10 +140,11 @@ def complete_panel(
     ]
     defaults = {s: 0.0 for s in stats} | dict(fills or {})
     kinds = dict(facts.dtypes)
-    skeleton = grid(ids, periods, entity, period)
+    parts = panel_parts(ids, periods, entity, period)
+    skeleton = grid(ids, periods, entity, period, parts)
     empty = [F.lit(None).cast(kinds[s]).alias(s) for s in stats]
     wanted = skeleton.select(entity, period, F.lit(1).alias("__grid"), *empty)
-    known = facts.repartition(entity).select(entity, period, F.lit(0).alias("__grid"), *stats)
+    known = facts.repartition(parts, entity).select(entity, period, F.lit(0).alias("__grid"), *stats)
     spec = Window.partitionBy(entity).orderBy(period, "__grid")
     before = {f"__{s}": F.lag(s).over(spec) for s in stats}
     found = (F.lag("__grid").over(spec) == 0) & (F.lag(period).over(spec) == F.col(period))

@@ -139,7 +139,7 @@ def panel_features(spark, sf):
       AND xgi_last IS NOT NULL""",
 )
 def training_set(spark, sf):
-    rows = _featured(spark, sf)
+    rows = features.panel_features(t.active_panel(spark, sf), t.entities(spark, sf))
     first = t.periods(spark, sf).agg(F.min("event")).scalar()
     needed = [c for c in features.common_features() if c in rows.columns] + ["total_points"]
     learn = split.training_set(rows, first, needed)
@@ -603,7 +603,7 @@ QUERY_SETTINGS = models.Boosting()
 
 def _training(spark, sf):
     """Training rows, written by group, and the feature names of each group that the rows have."""
-    rows = _featured(spark, sf)
+    rows = features.panel_features(t.active_panel(spark, sf), t.entities(spark, sf))
     first = t.periods(spark, sf).agg(F.min("event")).scalar()
     needed = [c for c in features.common_features() if c in rows.columns] + ["total_points"]
     learn = split.training_set(rows, first, needed)

@@ -157,6 +157,19 @@ def history(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> D
     return attach(out, context(spark, sf_dir), ["team", "event"], fills=fills)
 
 
+def active_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel, with match context, of the players that have facts: all that a filter on activity can leave."""
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
+    known = table(spark, sf_dir, "events").select(F.col("user_id").alias("player_id"))
+    return complete_panel(
+        restrict_to(every, known, "player_id"),
+        periods(spark, sf_dir),
+        history(spark, sf_dir),
+        stats=STATS + CONTEXT,
+        fills={"fdr": 3.0},
+    )
+
+
 def match_panel(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """The panel, of the players wanted, with match context."""
     every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"))
