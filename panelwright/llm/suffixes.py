@@ -17,9 +17,10 @@ from panelwright.llm.stored import free, stored
 
 FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 ROUNDS = 5  # symbols of a repeated string
-SHARD_BYTES = 250_000  # bytes of contexts that form a shard
-MERGE_BYTES = 1_500_000  # bytes merged at once
+SHARD_BYTES = 80_000  # bytes of contexts that form a shard
+MERGE_BYTES = 400_000  # bytes merged at once; the working arrays are about 100 times as large
 SPLIT_CONTEXTS = 256  # an anchor with more contexts is split by ranges of strings, so that none weighs on a task
+HALVED_ROWS = 1000  # contexts halved at once
 NODE = ["weight", "tk", "size", "at", "low", "high", "first", "around"]
 ROWS = "core bigint, whole bigint, weight int, tk bigint, size bigint, at bigint, low int, high int, first bigint, around binary"
 
@@ -226,6 +227,25 @@ def _halved(length: int):
     return run
 
 
+def _shipped_halved(length: int):
+    """Both halves of all strings around each anchor asked for: _shipped and _halved in one Python process, not two."""
+
+    def whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _shipped(length)(batches):
+            for begin in range(0, len(batch), HALVED_ROWS):
+                part = batch.slice(begin, HALVED_ROWS)
+                weight = np.where(part.column("copied").to_numpy(zero_copy_only=False), 2, 1).astype(np.int32)
+                low, high = np.zeros(len(part), np.int32), np.full(len(part), length // 2, np.int32)
+                columns = {x: part.column(x) for x in ("tk", "size", "at", "first", "around")}
+                columns |= {"weight": pa.array(weight), "low": pa.array(low), "high": pa.array(high)}
+                yield pa.RecordBatch.from_arrays([columns[x] for x in NODE], names=NODE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _halved(length)(whole_ranges(batches))
+
+    return run
+
+
 def _merged(length: int):
     """Runs of repeated strings of contexts without copies; the contexts of an anchor follow each other."""
 
@@ -266,6 +286,8 @@ def _merged(length: int):
             weight += batch.column("around").nbytes
         if held:
             yield decide(pa.Table.from_batches(held))
+        held = []
+        buffers.hand_back()
 
     return run
 
@@ -309,7 +331,7 @@ def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.withColumns({"tk": F.xxhash64(text), "size": F.octet_length(text).cast("bigint")})
 
 
-def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
+def _refined(asked: DataFrame, length: int) -> list[DataFrame]:
     """Runs of repeated strings around anchors with very many contexts, by halving ranges of strings.
 
     A context stands for the strings around its anchor, a range of distances from it. Round by round ranges
@@ -318,13 +340,11 @@ def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
     range is one string. A round only counts hashes, with map-side combination, and semi-joins the counts, so
     the contexts of an anchor never meet in a task, however many they are.
     """
-    whole_range = (F.lit(0).alias("low"), F.lit(length // 2).alias("high"))
-    weight = F.when(F.col("copied"), 2).otherwise(1).alias("weight")
-    nodes = shipped.select(weight, "tk", "size", "at", *whole_range, "first", "around")
+    nodes, halve = asked, _shipped_halved(length)
     high, found, before = length // 2, [], []
     while high:
         high //= 2
-        rows = stored(nodes.mapInArrow(_halved(length), ROWS), "suffix-ranges")
+        rows = stored(nodes.mapInArrow(halve, ROWS), "suffix-ranges")
         free(*before)
         kinds = rows.groupBy("core", "whole").agg(F.sum("weight").alias("n"), F.min(F.struct(*NODE[1:])).alias("one"))
         kinds = stored(kinds, "suffix-kinds")
@@ -333,7 +353,7 @@ def _refined(shipped: DataFrame, length: int) -> list[DataFrame]:
         found.append(stored(again.select("tk", "size", begin.alias("begin"), stop.alias("stop")), "suffix-runs"))
         open_ = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
         going = kinds.join(open_.select("core"), "core", "left_semi")
-        nodes = going.select(F.least(F.col("n"), F.lit(2)).cast("int").alias("weight"), "one.*")
+        nodes, halve = going.select(F.least(F.col("n"), F.lit(2)).cast("int").alias("weight"), "one.*"), _halved(length)
         before = [rows, kinds]
     free(*before)
     return found
@@ -378,7 +398,7 @@ def repeated_runs(docs: DataFrame, length: int, text_column: str) -> DataFrame:
     parts: list[DataFrame] = []
     many = open_.filter(F.col("k") > SPLIT_CONTEXTS)
     if not many.isEmpty():
-        parts = _refined(asking(many, kinds).mapInArrow(_shipped(length), ships), length)
+        parts = _refined(asking(many, kinds), length)
         for part in parts:
             found = found.unionByName(part)
     runs = stored(found, "suffix-runs")
